@@ -1,19 +1,526 @@
-"""The registry of queries and their SQL."""
+"""The registry of queries and their SQL: each name is registered with a function and, where SQL can say it, the same in SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import kernels
+from ..functions import text as T
+from ..operators import corpus, link, score, spans
+from .inputs import GOLD_SQL, PRED_SQL, TAGS_SQL, TOKENS_SQL, gold, pred, table, token_rows, turn_tags
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Text linkage
+
+NORM = r"trim(regexp_replace(lower(regexp_replace({}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+', ' ', 'g'))"
+SENTENCES = f"""
+s AS (SELECT id, i - 1 AS pos, {NORM.format("p[i]")} AS norm FROM (SELECT id, p, unnest(range(1, least(3, len(p)) + 1)) AS i FROM (
+  SELECT id, list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '') AS p FROM src))),
+h AS (SELECT id, pos, md5(norm) AS hash FROM s WHERE norm <> '')"""
+
+
+@query(f"""
+WITH src AS (SELECT doc_id AS id, text FROM documents), {SENTENCES},
+g AS (SELECT hash, min(id) AS head, count(DISTINCT id) AS n FROM h GROUP BY hash)
+SELECT h.id AS doc_id, CAST(h.pos AS INTEGER) AS pos, g.head AS head, g.n AS n_docs FROM h JOIN g USING (hash) WHERE g.n > 1""")
+def self_link(spark, sf_dir):
+    """Documents that share one of their leading sentences, with the smallest id that has it."""
+    h = link.sentence_hashes(table(spark, sf_dir, "documents"), "doc_id")
+    one = h.groupBy("hash", "id").agg(F.lit(1).alias("x")).groupBy("hash").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
+    return h.join(one, "hash").select(F.col("id").alias("doc_id"), "pos", "head", "n_docs")
+
+
+@query(f"""
+WITH src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id AS id, text FROM benchmark), {SENTENCES},
+r AS (SELECT hash, -1 - id AS rid, pos AS rpos FROM h WHERE id < 0),
+b AS (SELECT hash, rid, rpos FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY rid, rpos) AS k FROM r) WHERE k = 1),
+m AS (SELECT h.id, h.pos, b.rid, row_number() OVER (PARTITION BY h.id ORDER BY h.pos, b.rid, b.rpos) AS k FROM h JOIN b USING (hash) WHERE h.id >= 0)
+SELECT id, rid AS match_id, CAST(pos AS INTEGER) AS sentence, CAST(1.0 AS DOUBLE) AS similarity FROM m WHERE k = 1""")
+def exact_hash_link(spark, sf_dir):
+    left = link.sentence_hashes(table(spark, sf_dir, "documents"), "doc_id")
+    return link.exact_link(left, link.sentence_hashes(table(spark, sf_dir, "benchmark"), "item_id"))
+
+
+def _cut(spark, sf_dir, words: int = 40):
+    """Opening words of documents and benchmark items, as the two sides of fuzzy links."""
+    opening = lambda df, i: df.select(F.col(i).alias("id"), F.array_join(F.slice(F.split(T.normalise(F.col("text")), " "), 1, words), " ").alias("text"))
+    return opening(table(spark, sf_dir, "documents"), "doc_id"), opening(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def _cut_sql(key: str, name: str) -> str:
+    return f"SELECT {key} AS id, array_to_string(list_slice(string_split({NORM.format('text')}, ' '), 1, 40), ' ') AS text FROM {name}"
+
+
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query(f"""
+WITH a AS ({_cut_sql("doc_id", "documents")}), sh AS (
+  SELECT id, list_distinct(list_transform(range(1, greatest(len(p) - 2, 1) + 1), lambda i: array_to_string(list_slice(p, i, i + 2), ' '))) AS sh FROM (SELECT id, string_split(text, ' ') AS p FROM a)),
+x AS (SELECT id, unnest(list_transform(sh, lambda s: CAST(concat('0x', substring(md5(s), 1, 7)) AS BIGINT))) AS h FROM sh)
+SELECT id, CAST(i AS INTEGER) AS slot, min(((7 * i + 13) * h + (11 * i + 17)) % 1000000007) AS value FROM x, (SELECT unnest(range(0, 8)) AS i) GROUP BY id, i""")
+def minhash_signature(spark, sf_dir):
+    docs, _ = _cut(spark, sf_dir)
+    return docs.select("id", F.posexplode(T.minhash(T.shingles(F.split("text", " ")), 8)).alias("slot", "value"))
+
+
+@query()
+def lsh_link(spark, sf_dir):
+    docs, items = _cut(spark, sf_dir)
+    return link.lsh_link(link.signatures(docs, "id", 32), link.signatures(items, "id", 32)).select("id", "match_id", "similarity", "rank")
+
+
+@query(f"""
+WITH a AS ({_cut_sql("doc_id", "documents")}), b AS ({_cut_sql("item_id", "benchmark")}),
+l AS (SELECT id, CAST(floor(length(text) * 0.9) AS BIGINT) AS low, CAST(floor(length(text) * 1.1) AS BIGINT) AS high, list_distinct({WORDS}) AS w FROM a),
+r AS (SELECT id AS rid, length(text) AS rlen, CAST(floor(length(text) / 100) AS BIGINT) AS bucket, list_distinct({WORDS}) AS rw FROM b),
+p AS (SELECT id, rid, row_number() OVER (PARTITION BY id ORDER BY bucket, rid) AS n, w, rw FROM l JOIN r ON rlen BETWEEN low AND high),
+s AS (SELECT id, rid, n, CASE WHEN len(w) + len(rw) = 0 THEN 0.0 ELSE CAST(len(list_intersect(w, rw)) AS DOUBLE) / (len(w) + len(rw) - len(list_intersect(w, rw))) END AS similarity FROM p WHERE n <= 100)
+SELECT id, rid AS match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, n) AS k FROM s WHERE similarity >= 0.3) WHERE k = 1""")
+def length_jaccard_link(spark, sf_dir):
+    docs, items = _cut(spark, sf_dir)
+    return link.length_jaccard_link(docs, items, threshold=0.3)
+
+
+@query()
+def cascade_link(spark, sf_dir):
+    docs, items = _cut(spark, sf_dir)
+    exact = link.exact_link(link.sentence_hashes(table(spark, sf_dir, "documents"), "doc_id"), link.sentence_hashes(table(spark, sf_dir, "benchmark"), "item_id"))
+    lsh = link.lsh_link(link.signatures(docs, "id", 32), link.signatures(items, "id", 32)).where("rank = 1")
+    near = link.length_jaccard_link(docs, items, threshold=0.5)
+    return link.cascade([("exact", exact), ("lsh", lsh), ("length_jaccard", near)], docs)
+
+
+FIRST = "trim(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '')[{}])"
+
+
+@query(f"""
+WITH a AS (SELECT doc_id AS id, coalesce(substring({FIRST.format(1)}, 1, 12), '') AS block, coalesce(substring({FIRST.format(2)}, 1, 60), '') AS s FROM documents),
+p AS (SELECT x.id, y.id AS rid, levenshtein(x.s, y.s) AS d FROM a x JOIN a y ON x.block = y.block AND y.id < x.id WHERE x.s <> '' AND y.s <> ''),
+b AS (SELECT id, rid, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS k FROM p WHERE d <= 10) WHERE k = 1)
+SELECT a.id, b.rid AS match_id, CAST(b.d AS INTEGER) AS distance, b.rid IS NOT NULL AS matched FROM a LEFT JOIN b ON a.id = b.id""")
+def levenshtein_link(spark, sf_dir):
+    """Documents whose first sentence starts alike and whose second is within ten edits of an earlier document's."""
+    s = T.leading_sentences(F.col("text"), 2)
+    side = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring(F.element_at(s, 1), 1, 12).alias("block"), F.substring(F.element_at(s, 2), 1, 60).alias("s"))
+    r = side.select(F.col("id").alias("rid"), "block", F.col("s").alias("rs")).where("rs <> ''")
+    near = side.where("s <> ''").join(r, "block").where("rid < id").withColumn("d", F.levenshtein("s", "rs", 10)).where("d >= 0")
+    best = near.groupBy("id").agg(F.min(F.struct("d", "rid")).alias("m"))
+    return side.select("id").join(best, "id", "left").select("id", F.col("m.rid").alias("match_id"), F.col("m.d").alias("distance"), F.col("m").isNotNull().alias("matched"))
+
+
+TERMS = f"t AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents)"
+
+
+@query(f"""WITH {TERMS}, w AS (SELECT id, term, tf, df, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(n / (1 + df)), 9) DESC, term) AS rank FROM t JOIN d USING (term), n)
+SELECT id, CAST(rank AS INTEGER) AS rank, term, tf, df FROM w WHERE rank <= 5""")
+def tfidf_top_terms(spark, sf_dir):
+    return link.top_terms(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(f"WITH {TERMS} SELECT term, df, round(ln(n / (1 + df)), 6) AS idf FROM d, n WHERE df > 2")
+def inverse_frequency(spark, sf_dir):
+    weights, _ = link.idf(table(spark, sf_dir, "documents"), "doc_id")
+    return weights.where("df > 2").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""WITH {TERMS}, w AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(tf * ln(n / (1 + df)), 9) DESC, term) AS rank FROM t JOIN d USING (term), n),
+b AS (SELECT id, string_agg(term, ' ' ORDER BY rank) AS terms FROM w WHERE rank <= 5 GROUP BY id)
+SELECT CAST(concat('0x', substring(md5(terms), 1, 7)) AS BIGINT) % 64 AS block, count(*) AS n FROM b GROUP BY block""")
+def tfidf_blocks(spark, sf_dir):
+    top = link.top_terms(table(spark, sf_dir, "documents"), "doc_id")
+    terms = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+    return terms.groupBy((T.small_hash(F.array_join(F.col("t.term"), " ")) % 64).alias("block")).agg(F.count(F.lit(1)).alias("n"))
+
+
+VECTORS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings)"
+
+
+@query(f"""WITH {VECTORS}, n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v),
+s AS (SELECT a.id AS qid, b.id AS cid, round(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) / (a.n * b.n), 6) AS score FROM n a JOIN n b ON a.id <> b.id WHERE a.id % 40 = 0)
+SELECT qid, cid, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM s) WHERE rank <= 3""")
+def cosine_topk(spark, sf_dir):
+    """The stated queries are the vectors whose id is divisible by 40."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return link.cosine_top(v.where("id % 40 = 0"), v, blocks=4, k=3)
+
+
+@query(f"""WITH {VECTORS}, c AS (SELECT label, i - 1 AS pos, v[i] AS x, v[i] / sqrt(list_sum(list_transform(v, lambda y: y * y))) AS u, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM v)),
+m AS (SELECT label, pos, avg(x) AS a, avg(u) AS u, avg(n) AS n, count(x) / sum(1 / x) AS h FROM c GROUP BY label, pos)
+SELECT label, CAST(pos AS INTEGER) AS pos, round(a, 6) AS arithmetic, round(h, 4) AS harmonic, round(u / sqrt(sum(u * u) OVER (PARTITION BY label)) * n, 6) AS chordal FROM m""")
+def centroid_chordal(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return corpus.mean_vectors(rows, "label").select("label", "pos", F.round("arithmetic", 6).alias("arithmetic"), F.round("harmonic", 4).alias("harmonic"), F.round("chordal", 6).alias("chordal"))
+
+
+# Match analytics over a table of values in [0, 1]
+
+MATCHES = "m AS (SELECT l_orderkey AS id, l_discount * 10 AS similarity, l_shipmode AS stage FROM (SELECT l_orderkey, l_discount, l_returnflag AS l_shipmode FROM lineitem))"
+
+
+def _matches(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_discount") * 10).alias("similarity"), F.col("l_returnflag").alias("stage"))
+
+
+@query(f"""WITH {MATCHES} SELECT stage, count(*) AS n, count(DISTINCT id) AS ids, round(avg(similarity), 6) AS mean, round(quantile_cont(similarity, 0.5), 6) AS median, round(stddev_pop(similarity), 6) AS std,
+min(similarity) AS lowest, max(similarity) AS highest, round(quantile_cont(similarity, 0.25), 6) AS q25, round(quantile_cont(similarity, 0.75), 6) AS q75 FROM m GROUP BY stage""")
+def match_stats(spark, sf_dir):
+    p = lambda q: F.round(F.percentile("similarity", F.lit(q)), 6)
+    return _matches(spark, sf_dir).groupBy("stage").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.round(F.avg("similarity"), 6).alias("mean"), p(0.5).alias("median"), F.round(F.stddev_pop("similarity"), 6).alias("std"),
+        F.min("similarity").alias("lowest"), F.max("similarity").alias("highest"), p(0.25).alias("q25"), p(0.75).alias("q75"),
+    )
+
+
+@query(f"""WITH {MATCHES}, b AS (SELECT CAST(least(floor(similarity * 10), 9) AS INTEGER) AS bin FROM m WHERE similarity BETWEEN 0 AND 1)
+SELECT s.bin, (SELECT count(*) FROM b WHERE b.bin = s.bin) AS n FROM (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS bin) s""")
+def similarity_histogram(spark, sf_dir):
+    return corpus.histogram(_matches(spark, sf_dir), "similarity")
+
+
+@query(f"WITH {MATCHES} SELECT id, count(*) AS n FROM m GROUP BY id HAVING count(*) > 1")
+def duplicate_matches(spark, sf_dir):
+    return corpus.duplicates(_matches(spark, sf_dir), "id")
+
+
+@query(f"WITH {MATCHES} SELECT similarity, stage, round(cume_dist() OVER (PARTITION BY stage ORDER BY similarity), 9) AS share FROM (SELECT DISTINCT similarity, stage FROM m)")
+def similarity_cdf(spark, sf_dir):
+    rows = _matches(spark, sf_dir).select("similarity", "stage").distinct()
+    return rows.withColumn("share", F.round(F.cume_dist().over(Window.partitionBy("stage").orderBy("similarity")), 9))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R'),
+c AS (SELECT count(*) FILTER (WHERE a.id IS NOT NULL AND b.id IS NOT NULL) AS common, count(*) FILTER (WHERE b.id IS NULL) AS only_1, count(*) FILTER (WHERE a.id IS NULL) AS only_2 FROM a FULL JOIN b ON a.id = b.id)
+SELECT common, only_1, only_2, round(common / (common + only_1 + only_2), 9) AS jaccard FROM c""")
+def compare_match_sets(spark, sf_dir):
+    m = _matches(spark, sf_dir)
+    return corpus.compare_sets(m.where("stage = 'A'"), m.where("stage = 'R'")).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query("""WITH f AS (SELECT DISTINCT l_returnflag AS folder, concat('o', CAST(l_orderkey AS VARCHAR)) AS name, CAST(l_quantity % 3 AS VARCHAR) AS hash FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT DISTINCT 'N', concat('o', CAST(o_orderkey AS VARCHAR)), CAST(o_custkey % 3 AS VARCHAR) FROM orders),
+g AS (SELECT name, count(DISTINCT folder) AS n, count(DISTINCT hash) AS h FROM f GROUP BY name)
+SELECT name, CASE WHEN n < 2 THEN 'missing' WHEN h > 1 THEN 'mismatch' ELSE 'ok' END AS status FROM g""")
+def compare_files(spark, sf_dir):
+    name = lambda c: F.concat(F.lit("o"), F.col(c).cast("string")).alias("name")
+    a = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_returnflag").alias("folder"), name("l_orderkey"), (F.col("l_quantity") % 3).cast("string").alias("hash"))
+    b = table(spark, sf_dir, "orders").select(F.lit("N").alias("folder"), name("o_orderkey"), (F.col("o_custkey") % 3).cast("string").alias("hash"))
+    return corpus.compare_files(a.unionByName(b), ["a", "b"])
+
+
+# Scoring of spans
+
+KEYS = "filename, label, start, \"end\""
+
+
+@query(f"""WITH g AS (SELECT DISTINCT {KEYS}, 1 AS g FROM ({GOLD_SQL})), p AS (SELECT DISTINCT {KEYS}, 1 AS p FROM ({PRED_SQL})),
+b AS (SELECT coalesce(g.label, p.label) AS label, coalesce(g.g, 0) AS g, coalesce(p.p, 0) AS p FROM g FULL JOIN p ON g.filename = p.filename AND g.label = p.label AND g.start = p.start AND g."end" = p."end"),
+c AS (SELECT label, CAST(sum(g * p) AS BIGINT) AS tp, CAST(sum(p) AS BIGINT) AS np, CAST(sum(g) AS BIGINT) AS ng FROM b GROUP BY label),
+r AS (SELECT label, tp, np - tp AS fp, ng - tp AS fn, CASE WHEN np > 0 THEN tp / np ELSE 0.0 END AS precision, CASE WHEN ng > 0 THEN tp / ng ELSE 0.0 END AS recall FROM c),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r),
+u AS (SELECT * FROM f UNION ALL SELECT 'macro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), avg(precision), avg(recall), avg(f1) FROM f
+  UNION ALL SELECT 'micro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), sum(tp) / (sum(tp) + sum(fp)), sum(tp) / (sum(tp) + sum(fn)), 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) FROM f)
+SELECT label, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM u""")
+def strict_scores(spark, sf_dir):
+    out = score.strict(gold(spark, sf_dir), pred(spark, sf_dir))
+    return out.select("label", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query()
+def relaxed_scores(spark, sf_dir):
+    return score.relaxed(gold(spark, sf_dir), pred(spark, sf_dir))
+
+
+@query(f"""WITH g AS ({GOLD_SQL}), p AS ({PRED_SQL}) SELECT g.label, count(*) AS pairs, count(DISTINCT g.filename) AS documents FROM g JOIN p ON g.filename = p.filename AND g.label = p.label AND g.start <= p."end" AND p.start <= g."end" GROUP BY g.label""")
+def overlap_pairs(spark, sf_dir):
+    """Overlapping or touching gold and predicted spans of a label."""
+    g = gold(spark, sf_dir)
+    p = pred(spark, sf_dir).select("filename", "label", F.col("start").alias("s"), F.col("end").alias("e"))
+    return g.join(p, ["filename", "label"]).where("start <= e AND s <= end").groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("filename").alias("documents"))
+
+
+@query(f"""SELECT filename, label, start, "end", ord FROM (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY ord) AS k FROM ({GOLD_SQL})) WHERE k = 1""")
+def dedup_spans(spark, sf_dir):
+    return spans.dedup_spans(gold(spark, sf_dir))
+
+
+REPORTS = "r AS (SELECT CAST(l_linenumber AS INTEGER) AS fold, l_returnflag AS label, avg(l_discount) AS p, avg(l_tax) AS r FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH {REPORTS}, u AS (SELECT label, 'p' AS metric, p AS value FROM r UNION ALL SELECT label, 'r', r FROM r)
+SELECT label, metric, round(avg(value), 9) AS mean, round(median(value), 9) AS median, round(stddev_pop(value), 9) AS std_pop, round(coalesce(stddev_samp(value), 0), 9) AS std_samp, count(value) AS n FROM u GROUP BY label, metric""")
+def fold_statistics(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("fold"), F.col("l_returnflag").alias("label")).agg(F.avg("l_discount").alias("p"), F.avg("l_tax").alias("r"))
+    out = score.fold_statistics(rows, ["label"], ["p", "r"])
+    return out.select("label", "metric", *[F.round(c, 9).alias(c) for c in ("mean", "median", "std_pop", "std_samp")], "n")
+
+
+@query(f"""WITH g AS ({GOLD_SQL}), p AS ({PRED_SQL}) SELECT g.filename, g.start, g.ord, p.ord AS ord_pred, p."end" - g."end" AS error FROM g JOIN p ON g.filename = p.filename AND g.start = p.start WHERE g."end" <> p."end\"""")
+def boundary_errors(spark, sf_dir):
+    return corpus.boundary_errors(gold(spark, sf_dir), pred(spark, sf_dir))
+
+
+@query(f"""SELECT * FROM ({GOLD_SQL}) g WHERE EXISTS (SELECT 1 FROM ({PRED_SQL}) p WHERE p.label = g.label AND p.label <> 'SYMPTOM')""")
+def restrict_to_predicted(spark, sf_dir):
+    """Gold spans whose label is predicted at all."""
+    return gold(spark, sf_dir).join(F.broadcast(pred(spark, sf_dir).select("label").where("label <> 'SYMPTOM'").distinct()), "label", "left_semi").select("filename", "label", "start", "end", "ord")  # one row a label
+
+
+PAIR_SQL = f"""o AS (SELECT a.filename, a.start, a."end", a.ord AS row, b.ord AS other, a.label, b.label AS other_label FROM ({GOLD_SQL}) a JOIN ({GOLD_SQL}) b ON a.filename = b.filename AND a.ord <> b.ord AND a.start < b."end" AND b.start < a."end" WHERE a.start < a."end" AND b.start < b."end")"""
+
+
+@query(f"WITH {PAIR_SQL} SELECT label, other_label, count(*) AS pairs FROM o GROUP BY ALL")
+def span_overlaps(spark, sf_dir):
+    return spans.overlaps(gold(spark, sf_dir)).groupBy("label", "other_label").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"""WITH {PAIR_SQL}, k AS (SELECT DISTINCT filename, start, "end" FROM ({GOLD_SQL})), f AS (SELECT filename, start, "end", bool_or(other_label = 'DISEASE') AS d, bool_or(other_label = 'SYMPTOM') AS s FROM o GROUP BY ALL)
+SELECT k.filename, k.start, k."end", coalesce(d, FALSE) AS "with_DISEASE", coalesce(s, FALSE) AS "with_SYMPTOM" FROM k LEFT JOIN f ON k.filename = f.filename AND k.start = f.start AND k."end" = f."end\"""")
+def span_overlap_flags(spark, sf_dir):
+    g = gold(spark, sf_dir)
+    return corpus.flags(spans.overlaps(g), g, ["DISEASE", "SYMPTOM"])
+
+
+@query(f"""WITH {PAIR_SQL}, k AS (SELECT g.label, g.filename, g.ord, EXISTS (SELECT 1 FROM o WHERE o.filename = g.filename AND o.row = g.ord) AS x FROM ({GOLD_SQL}) g)
+SELECT label, count(*) AS n, round(avg(CASE WHEN x THEN 1.0 ELSE 0.0 END) * 100, 6) AS percent FROM k GROUP BY label""")
+def overlap_percentages(spark, sf_dir):
+    g = gold(spark, sf_dir)
+    hit = spans.overlaps(g).select("filename", F.col("row").alias("ord")).distinct().withColumn("x", F.lit(1.0))
+    return g.join(hit, ["filename", "ord"], "left").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("x", F.lit(0.0))) * 100, 6).alias("percent"))
+
+
+# Corpus operators
+
+@query("""WITH r AS (SELECT l_suppkey AS id, CASE WHEN l_suppkey % 7 = 0 AND l_linenumber > 3 THEN 'x' ELSE CAST(l_suppkey AS VARCHAR) END AS text, concat(l_orderkey, '/', l_linenumber, '/', l_returnflag) AS tag FROM lineitem)
+SELECT id, min(text) AS text, count(DISTINCT tag) AS n_tags FROM r GROUP BY id HAVING count(DISTINCT text) = 1""")
+def merge_annotations(spark, sf_dir):
+    """Tags by id; ids with two texts are left out."""
+    text = F.when((F.col("l_suppkey") % 7 == 0) & (F.col("l_linenumber") > 3), "x").otherwise(F.col("l_suppkey").cast("string"))
+    tag = F.struct(F.col("l_orderkey").alias("start"), F.col("l_linenumber").alias("end"), F.col("l_returnflag").alias("tag"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), text.alias("text"), F.array(tag).alias("tags"))
+    return corpus.merge_annotations(rows).select("id", "text", F.size("tags").cast("long").alias("n_tags"))
+
+
+@query(f"""SELECT label, count(*) AS n, round(avg("end" - start), 6) AS mean_length, CAST(median("end" - start) AS DOUBLE) AS median_length, count(DISTINCT filename) AS documents FROM ({GOLD_SQL}) GROUP BY label""")
+def inspect_spans(spark, sf_dir):
+    return corpus.inspect(gold(spark, sf_dir), ["label"]).withColumn("mean_length", F.round("mean_length", 6))
+
+
+@query(f"""WITH t AS (SELECT concat('doc', CAST(o_orderkey AS VARCHAR)) AS filename, 150 AS size FROM orders WHERE o_orderkey % 3 <> 0), r AS (SELECT g.*, t.size FROM ({GOLD_SQL}) g LEFT JOIN t ON g.filename = t.filename)
+SELECT why, count(*) AS n FROM (SELECT CASE WHEN size IS NULL THEN 'no text' WHEN start < 0 THEN 'negative start' WHEN "end" <= start THEN 'empty' WHEN "end" > size THEN 'beyond the end' END AS why FROM r) WHERE why IS NOT NULL GROUP BY why""")
+def invalid_spans(spark, sf_dir):
+    texts = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.concat(F.lit("doc"), F.col("o_orderkey").cast("string")).alias("filename"), F.repeat(F.lit("x"), 150).alias("text"))
+    return corpus.invalid_spans(gold(spark, sf_dir), texts).groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT filename, label, CAST(start AS VARCHAR) AS start_span, CAST("end" AS VARCHAR) AS end_span, '' AS text FROM (SELECT filename, label, start, "end" FROM ({GOLD_SQL}) UNION SELECT filename, label, start, "end" FROM ({PRED_SQL}))""")
+def combine_predictions(spark, sf_dir):
+    rows = [df.select("filename", "label", F.col("start").cast("string").alias("start_span"), F.col("end").cast("string").alias("end_span"), F.lit("").alias("text")) for df in (gold(spark, sf_dir), pred(spark, sf_dir))]
+    return corpus.combine(rows)
+
+
+@query("""WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT n AS b FROM c WHERE label = '1-URGENT')
+SELECT label, n, round(least(50.0, b / n), 9) AS weight FROM c, b""")
+def class_weights(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return score.class_weights(counts, "1-URGENT").withColumn("weight", F.round("weight", 9))
+
+
+@query("SELECT toxic AS label, quality, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM labels GROUP BY toxic, quality")
+def label_distribution(spark, sf_dir):
+    n = table(spark, sf_dir, "labels").groupBy(F.col("toxic").alias("label"), "quality").agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    return n.crossJoin(F.broadcast(total)).select("label", "quality", "n", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("percent"))  # one row
+
+
+@query("""SELECT o_orderkey AS id, coalesce(r_name, 'NO CODE') AS licence FROM orders LEFT JOIN region ON o_custkey % 9 = r_regionkey""")
+def licence_left_join(spark, sf_dir):
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9).cast("int").alias("r_regionkey"))
+    right = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("licence"))
+    return corpus.with_default(left, right, "r_regionkey", "licence", "NO CODE").select("id", "licence")
+
+
+@query("""SELECT n_name AS name, kind, value FROM (SELECT n_name, 'key' AS kind, CAST(n_nationkey AS VARCHAR) AS value FROM nation UNION ALL SELECT n_name, 'region', nullif(CAST(n_regionkey AS VARCHAR), '0') FROM nation) WHERE value IS NOT NULL""")
+def ontology_unpivot(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("key"), F.nullif(F.col("n_regionkey").cast("string"), F.lit("0")).alias("region"))
+    return rows.unpivot(["name"], ["key", "region"], "kind", "value").where("value IS NOT NULL")
+
+
+@query("""SELECT c_custkey AS id, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'""")
+def ontology_chain(spark, sf_dir):
+    """Concept to type to group by joins that drop misses."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").where("r_name <> 'ASIA'")
+    c = table(spark, sf_dir, "customer")
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("c_custkey").alias("id"), "n_name", "r_name")
+
+
+@query("""SELECT page_id, len(l) AS n_links, l[1] AS first_link FROM (SELECT page_id, list_filter(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: x <> '' AND NOT ends_with(x, '/') AND NOT starts_with(x, 'http') AND NOT starts_with(x, '../')) AS l FROM pages)""")
+def html_links(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", corpus.links(F.col("html")).alias("l"))
+    return rows.select("page_id", F.size("l").cast("long").alias("n_links"), F.try_element_at("l", F.lit(1)).alias("first_link"))
+
+
+@query("""SELECT p_partkey AS id, CAST(p_size * CASE p_size % 3 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 ELSE 1 END AS DOUBLE) AS bytes FROM part""")
+def size_parse(spark, sf_dir):
+    unit = F.element_at(F.array(F.lit("K"), F.lit("m"), F.lit("")), F.col("p_size") % 3 + 1)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.byte_size(F.concat(F.col("p_size").cast("string"), unit)).alias("bytes"))
+
+
+@query("""SELECT CAST(floor(doc_id / 100) AS BIGINT) AS part, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1""")
+def line_split(spark, sf_dir):
+    """Parts of a hundred numbered lines."""
+    return table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, CAST(NULL AS VARCHAR) AS brand FROM supplier UNION ALL SELECT p_partkey, p_name, p_brand FROM part""")
+def mixed_schema_union(spark, sf_dir):
+    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return a.unionByName(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand")), allowMissingColumns=True)
+
+
+@query("""SELECT o_orderkey AS gid, CAST(CAST(concat('0x', substring(md5(concat(CAST(o_custkey AS VARCHAR), '-42')), 1, 7)) AS BIGINT) % 5 AS INTEGER) AS fold FROM orders""")
+def group_folds(spark, sf_dir):
+    return corpus.group_folds(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gid"), "o_custkey"), "o_custkey", 5).select("gid", "fold")
+
+
+@query("""SELECT source, n, rank FROM (SELECT source, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, source) AS INTEGER) AS rank FROM documents GROUP BY source) WHERE rank <= 10""")
+def top_sources(spark, sf_dir):
+    """The ten most frequent sources: a report."""
+    n = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "source").limit(10)
+    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "source")))
+
+
+@query("SELECT o_custkey AS id, string_agg(o_orderpriority, '|' ORDER BY o_orderkey) AS priorities, list_sort(list(DISTINCT o_orderstatus))[1] AS first_status FROM orders GROUP BY o_custkey")
+def strings_by_key(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id"))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]), "|").alias("priorities"), F.array_min(F.collect_set("o_orderstatus")).alias("first_status"))
+
+
+@query(f"SELECT doc_id, {NORM.format('text')} AS norm FROM documents")
+def normalise_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("norm"))
+
+
+@query("""SELECT doc_id, p[1] AS s1, p[2] AS s2, p[3] AS s3 FROM (SELECT doc_id, list_concat(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> ''), ['', '', '']) AS p FROM documents)""")
+def leading_sentences(spark, sf_dir):
+    s = T.leading_sentences(F.col("text"), 3)
+    return table(spark, sf_dir, "documents").select("doc_id", s.alias("p")).select("doc_id", *[F.element_at("p", i).alias(f"s{i}") for i in (1, 2, 3)])
+
+
+# Tokens, labels, chunks
+
+LABELLED = f"""k AS ({TOKENS_SQL}), g AS ({TAGS_SQL}),
+h AS (SELECT k.conv_id, k.turn, k.pos, g.label, min(k.pos) OVER (PARTITION BY k.conv_id, k.turn) AS first FROM k JOIN g ON k.conv_id = g.conv_id AND k.turn = g.turn AND k."end" > g.s AND k.start < g.e),
+t AS (SELECT k.conv_id, k.turn, CAST(k.pos AS INTEGER) AS pos, k.word, CAST(k.start AS INTEGER) AS start, CAST(k."end" AS INTEGER) AS "end", CASE WHEN h.pos IS NULL THEN 'O' ELSE concat(CASE WHEN h.pos = h.first THEN 'B-' ELSE 'I-' END, h.label) END AS tag FROM k LEFT JOIN h ON k.conv_id = h.conv_id AND k.turn = h.turn AND k.pos = h.pos)"""
+
+
+def _labelled(spark, sf_dir):
+    return spans.label_tokens(token_rows(spark, sf_dir), turn_tags(spark, sf_dir), ["conv_id", "turn"])
+
+
+@query(f"WITH {LABELLED} SELECT conv_id, turn, pos, word, start, \"end\", tag FROM t")
+def span_token_labels(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("conv_id", "turn", "pos", "word", "start", "end", "tag")
+
+
+@query(f"""WITH {LABELLED} SELECT conv_id, turn, min(start) AS start, max("end") AS "end", substring(min(tag), 3) AS label, count(*) AS n_tokens FROM t WHERE tag <> 'O' GROUP BY conv_id, turn""")
+def iob_runs(spark, sf_dir):
+    """Entities decoded from the labels: the spans come back, widened to whole tokens."""
+    return spans.decode(_labelled(spark, sf_dir), ["conv_id", "turn"])
+
+
+@query(f"WITH {LABELLED} SELECT tag, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent FROM t GROUP BY tag")
+def token_label_counts(spark, sf_dir):
+    n = _labelled(spark, sf_dir).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("tag", "n", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("percent"))  # one row
+
+
+@query(f"""WITH {LABELLED}, m AS (SELECT conv_id, turn, pos, count(*) OVER (PARTITION BY conv_id, turn) AS n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS i, tag FROM t)
+SELECT conv_id, turn, CAST(greatest(0, least(i - 4, n - 8)) AS INTEGER) AS start, CAST(least(n, greatest(0, least(i - 4, n - 8)) + 8) AS INTEGER) AS stop FROM m WHERE tag LIKE 'B-%'""")
+def centered_chunks(spark, sf_dir):
+    w = Window.partitionBy("conv_id", "turn")
+    rows = _labelled(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(w).cast("int")).withColumn("i", F.row_number().over(w.orderBy("pos")) - 1)
+    start, stop = spans.centered_chunk(F.col("i"), F.col("n"), 8)
+    return rows.where(F.startswith("tag", F.lit("B-"))).select("conv_id", "turn", start.cast("int").alias("start"), stop.cast("int").alias("stop"))
+
+
+@query()
+def standard_chunks(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "tag")))["tag"].alias("tags"))
+    return rows.select("conv_id", "turn", F.explode(spans.standard_chunks(F.col("tags"), 16)).alias("c")).select("conv_id", "turn", "c.*")
+
+
+@query()
+def greedy_chunks(spark, sf_dir):
+    """Sentences of documents, by number of words, put together up to 64 words."""
+    lengths = F.transform(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: s != ""), lambda s: F.size(F.split(s, " ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(spans.greedy_chunks(lengths, 64)).alias("chunk", "words"))
+
+
+@query()
+def clean_spans(spark, sf_dir):
+    """Spans of 24 characters of each turn, cleaned."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.col("conv_id") % 10).cast("int").alias("start"))
+    rows = rows.withColumn("c", kernels.clean_spans("text", "start", (F.col("start") + 24).cast("int"), F.lit("SYMPTOM")))
+    return rows.select("conv_id", "turn", F.col("c.text").alias("span"), F.col("c.start").alias("start"), F.col("c.end").alias("end"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+def mojibake_fix(spark, sf_dir):
+    """Plain ASCII texts stay as they are."""
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", kernels.repair_encoding("text").alias("text"))
+
+
+@query()
+def viterbi_decode(spark, sf_dir):
+    """Tag paths of turns from scores by word length."""
+    rows = token_rows(spark, sf_dir).withColumn("s", F.array((F.char_length("word") % 3).cast("double"), (F.char_length("word") % 5).cast("double"), (F.char_length("word") % 7).cast("double")))
+    rows = rows.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "s")))["s"].alias("s"))
+    return rows.select("conv_id", "turn", kernels.viterbi_bio("s").alias("path"))
+
+
+@query("""SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY ALL""")
+def event_windows(spark, sf_dir):
+    """Tumbling days; the same expression runs on a stream."""
+    from ..streaming.incremental import rate_by_window
+
+    return rate_by_window(table(spark, sf_dir, "events"), "1 day")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), r AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
+SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, count(*) AS n FROM r GROUP BY user_id, run""")
+def event_runs(spark, sf_dir):
+    """Runs of equal events of a user (gaps and islands)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("b", F.lag("event_type").over(w))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("b").isNull() | (F.col("b") != F.col("event_type")), 1).otherwise(0)).over(w))
+    return rows.groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    """The flagship: documents linked to one another by leading sentences."""
+    return self_link(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
