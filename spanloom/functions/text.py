@@ -61,7 +61,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def byte_size(text: Column) -> Column:
     """`12K`, `3.5M`, `1G` or plain digits as bytes; null where it is none of these."""
-    number = F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*[KMG]?\s*$", 1)
+    number = F.regexp_extract(text, r"^\s*([0-9]+(?:\.[0-9]+)?)\s*[KMGkmg]?\s*$", 1)
     unit = F.upper(F.regexp_extract(text, r"([KMGkmg])\s*$", 1))
     times = F.when(unit == "K", 1024).when(unit == "M", 1024**2).when(unit == "G", 1024**3).otherwise(1)
     return F.when(number != "", F.expr("1.0D") * number.try_cast("double") * times)
