@@ -73,7 +73,12 @@ def top_k(vectors, k=5, scale=256, every=50):
     return sorted(out)
 
 
-def kneser_ney(train, docs):
+def end_after(train, word):
+    """log10 of the probability of the end after a word."""
+    return kneser_ney(train, [], ask=(word, " "))
+
+
+def kneser_ney(train, docs, ask=None):
     """{id: (n_tokens, n_known, N, base, score)} of an interpolated modified Kneser-Ney bigram model, word by word."""
 
     def words(text):
@@ -106,17 +111,20 @@ def kneser_ney(train, docs):
     def low(w):
         return (ends[w] - low_d[min(ends[w], 3)]) / len(bi) + rest / (v + 1) if w in ends else rest / (v + 1)
 
+    def step(before, w):
+        if not context[before]:
+            return math.log10(low(w))
+        c = bi[before, w]
+        return math.log10((c - d[min(c, 3)]) / context[before] + sum(d[k] * n for k, n in starts[before].items()) / context[before] * low(w))
+
+    if ask:
+        return step(*ask)
     out = {}
     for i, t in docs:
         own, before, base, score = words(t), "<s>", 0.0, 0.0
         for w in own:
             base += math.log10((uni[w] + 1) / (total + v + 1))
-            if context[before]:
-                c = bi[before, w]
-                p = (c - d[min(c, 3)]) / context[before] + sum(d[k] * n for k, n in starts[before].items()) / context[before] * low(w)
-            else:
-                p = low(w)
-            score += math.log10(p)
+            score += step(before, w)
             before = w
         out[i] = (len(own), sum(w in uni for w in own), total, base, score)
     return out
