@@ -173,7 +173,10 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
     reps = checkpoint(rows.groupBy("set").agg(first, F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"), F.first("digest").alias("digest")).withColumn("rep", F.col("first.rid")))
     nodes = reps.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
     hubs = nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = nodes.join(hubs, ["tree", "prefix"]).where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    # A text hangs on the smallest of its hubs only, and its hubs (at most one a tree) on one another: the same connected sets with
+    # about one edge a text.
+    own = nodes.join(hubs, ["tree", "prefix"]).where("hub <> rep").groupBy("rep").agg(F.min("hub").alias("a"), F.collect_set("hub").alias("hubs"))
+    edges = own.select("a", F.explode(F.array_append("hubs", F.col("rep"))).alias("b")).where("a <> b")
     groups = connected(edges)
     sizes = checkpoint(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
     packs = max(1, -(-groups.count() // PACK))
