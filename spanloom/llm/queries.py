@@ -42,7 +42,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    there = bpe_automaton.decode(bpe_automaton.encode(table(spark, sf_dir, "documents"), path), path)
+    there = bpe_automaton.encode_and_decode(table(spark, sf_dir, "documents"), path)
     return there.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
