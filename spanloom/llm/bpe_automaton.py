@@ -63,9 +63,11 @@ class Automaton:
             self.to[w], self.first[w], self.made[w] = end, u, 2 * step + 1
             self.arcs[self.label[w]] = w
         self.known_arcs.clear()
-        #: Labels over 24 bytes are rare: they are looked for only where the text starts like one.
-        self.far = {label[:24] for label in self.arcs if len(label) > 24}
-        self.farthest = max(map(len, self.arcs), default=0)
+        #: By the first three bytes: the length of the longest label that starts so. No longer one is looked for.
+        self.reach: dict[bytes, int] = {}
+        for label in self.arcs:
+            if len(label) > self.reach.get(label[:3], 2):
+                self.reach[label[:3]] = len(label)
         self.known: dict[str, bytes] = {}
         self.most, self.longest = most, longest
 
@@ -95,13 +97,9 @@ class Automaton:
         """Follow arcs, longest label first. A prefix has one accepted token string, so a position that fails once is never
         tried again: after a failure the last arc gives way to the next shorter one."""
         raw = word.encode("utf-8")
-        n, arcs, far, to, arc, known = len(raw), self.arcs, self.far, self.to, self.arc, self.known_arcs
+        n, arcs, reach, to, arc, known = len(raw), self.arcs, self.reach.get, self.to, self.arc, self.known_arcs
         path: list[tuple[int, int, int]] = []
-        at, state, end = 0, 0, 24
-        if raw[:24] in far:
-            end = self.farthest
-        if end > n:
-            end = n
+        at, state, end = 0, 0, min(n, reach(raw[:3], 2))
         while at < n:
             while end > at:
                 t = arcs.get(raw[at:end])
@@ -116,11 +114,9 @@ class Automaton:
                 continue
             path.append((at, state, t))
             at, state = end, to[t]
-            end = at + 24
+            end = at + reach(raw[at : at + 3], 2)
             if end > n:
                 end = n
-            elif raw[at:end] in far:
-                end = min(n, at + self.farthest)
         return np.array([t for _, _, t in path], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
