@@ -3,8 +3,8 @@
 The automaton reads tokens and accepts exactly the token strings that the merges give. It starts as one state with an arc for each
 byte; each merge (u, v) -> w then adds a gadget: the state that u leads to is copied without its v arc, the u arcs are led to the
 copy, and every state with a u arc gets a w arc to where the v arc led. All arcs of one label lead to one state, so the table of
-arc ends is one number a label; a copy is held as its parent and the arc that it lacks, and looked-up arcs are kept in a
-transition table of bounded size. Texts are split into pre-tokens by the vocabulary file's pattern; a pre-token is encoded by
+arc ends is one number a label. The copies that one label led to form a run, held as the step at which each lost its arc, so that
+an arc is looked up run by run; looked-up arcs are kept in a transition table of bounded size. Texts are split into pre-tokens by the vocabulary file's pattern; a pre-token is encoded by
 following the arcs whose labels spell it, one accepted prefix for each position. Decoding puts the labels of the arcs together.
 """
 
@@ -45,22 +45,24 @@ class Automaton:
             self.label[i] = bytes(byte[c] for c in s)
         for s, i in self.special.items():
             self.label[i] = s.encode()
-        #: By label: the state its arcs lead to, its first part, the step that made it. By state: parent, lacking arc, step.
+        #: By label: the state its arcs lead to, its first part, the step that made it. By state: the label of its run,
+        #: step. By label: the state under its run. By run and label: the step at which the arc was lost.
         self.to, self.first, self.made = [0] * top, [-1] * top, [0] * top
-        self.parent, self.lacks, self.born = [-1], [-1], [0]
+        self.run, self.born, self.under = [-1], [0], [0] * top
+        self.lost: dict[int, int] = {}
         self.known_arcs: dict[int, bool] = {}
         self.arcs: dict[bytes, int] = {self.label[vocab[s]]: vocab[s] for s in byte if s in vocab}
         for step, (a, b) in enumerate(model["merges"], 1):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            s = self.to[u]
-            if not self.arc(s, v):
+            if not self.arc(self.to[u], v):
                 continue  # u and v never stand side by side: the merge adds nothing
             end = self.to[v]
-            self.parent.append(s)
-            self.lacks.append(v)
+            self.run.append(u)
             self.born.append(2 * step)
-            self.to[u] = len(self.parent) - 1
+            self.lost[u << 20 | v] = 2 * step
+            self.to[u] = len(self.run) - 1
             self.to[w], self.first[w], self.made[w] = end, u, 2 * step + 1
+            self.under[w] = end
             self.arcs[self.label[w]] = w
         self.known_arcs.clear()
         #: By the first three bytes: the length of the longest label that starts so. No longer one is looked for.
@@ -76,17 +78,18 @@ class Automaton:
         key = state << 20 | label
         found = self.known_arcs.get(key)
         if found is None:
-            s, t = state, label
-            while True:
-                if self.born[s] > self.made[t]:
-                    if self.lacks[s] == t:
-                        found = False
-                        break
-                    s = self.parent[s]
+            u, t, upto = self.run[state], label, self.born[state]
+            found = True
+            while u >= 0:
+                if (lost := self.lost.get(u << 20 | t)) is not None and lost <= upto:
+                    found = False
+                    break
+                if self.made[u] > self.made[t]:
+                    below = self.under[u]
+                    u, upto = self.run[below], min(upto, self.born[below])
                 elif self.first[t] >= 0:
-                    t = self.first[t]
+                    t, upto = self.first[t], min(upto, self.made[t])
                 else:
-                    found = True
                     break
             if len(self.known_arcs) > 2_000_000:
                 self.known_arcs.clear()
