@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled documents: one on ordinary text, one on the same amount of text with what is
-typical of toxic documents (the parts whose byte n-grams occur in many toxic and hardly any ordinary documents; the ordinary
-dictionary gets as much ordinary vocabulary instead). A document is compressed window by window with both; a window's gain is the
-number of bytes that the toxic dictionary saves. The threshold on gains is calibrated on ordinary documents, and a logistic curve
-over a document's highest gains and its windows over the threshold gives the score.
+Texts are compressed as sequences of codes, one of eight bytes a word, so that only whole words match, whatever the language. There
+are two dictionaries: both hold one that zstandard trains on ordinary text; the toxic one also gets the words that many toxic and
+hardly any ordinary documents have, the ordinary one as many frequent ordinary words instead. A document is compressed window by
+window with both; a window's gain is the number of bytes that the toxic dictionary saves. The threshold on gains is calibrated on
+ordinary documents, and a logistic curve over a document's highest gains and its windows over the threshold gives the score.
 
 Dictionaries, threshold and curve are fitted on a bounded sample of labelled rows (MOST_TOXIC and MOST_ORDINARY rows, texts of at
 most MOST_BYTES bytes, the smallest by a hash of the id); what is scored is never cut or sampled.
@@ -12,7 +12,9 @@ most MOST_BYTES bytes, the smallest by a hash of the id); what is scored is neve
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,12 +28,29 @@ from pyspark.sql import functions as F
 from ._common import text_of
 
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1_200, 3_000, 16_384
-WINDOW, STRIDE, GRAM, LEVEL = 64, 40, 6, 3
+WINDOW, STRIDE, CODE, LEVEL = 64, 40, 8, 3
 DICTIONARY, EXTRA = 16_384, 4_096
 
 
+class _Codes(dict):
+    """The code of a word; the first MOST words met are remembered, others are hashed each time."""
+
+    MOST = 1 << 18
+
+    def __missing__(self, word: str) -> bytes:
+        code = hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=CODE).digest()
+        if len(self) < self.MOST:
+            self[word] = code
+        return code
+
+
+_codes = _Codes()
+_words = re.compile(r"\w+").findall
+
+
 def plain(text: str) -> bytes:
-    return (" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace")
+    """The codes of the words in order; a text without words has one code of zeros."""
+    return b"".join(map(_codes.__getitem__, _words(text.lower()))) or bytes(CODE)
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -89,43 +108,19 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    """The distinct n-grams of a text as integers."""
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    n = len(b) - GRAM + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    return np.unique(sum(b[k : k + n] << np.uint64(8 * k) for k in range(GRAM)))
+def _distinct(raw: bytes) -> set[bytes]:
+    return {raw[i : i + CODE] for i in range(0, len(raw), CODE)}
 
 
 def _typical(toxic: list[bytes], ordinary: list[bytes]) -> Counter:
-    """Parts of words that many toxic and hardly any ordinary documents have, with the number of toxic documents."""
-    seen, n = np.unique(np.concatenate([_grams(b) for b in toxic]), return_counts=True)
-    often = n >= max(3, 0.01 * len(toxic))
-    seen, n = seen[often], n[often]
-    other = np.zeros(len(seen))
-    for b in ordinary:
-        other += np.isin(seen, _grams(b), assume_unique=True)
-    keep = seen[n / len(toxic) >= 8 * (other + 1) / len(ordinary)]
-    found: Counter = Counter()
-    for raw in toxic:
-        b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-        m = len(b) - GRAM + 1
-        if m <= 0:
-            continue
-        at = np.flatnonzero(np.isin(sum(b[k : k + m] << np.uint64(8 * k) for k in range(GRAM)), keep))
-        if not len(at):
-            continue
-        ends = np.flatnonzero(np.diff(at) > 1)
-        own: set[bytes] = set()
-        for i, j in zip(at[np.r_[0, ends + 1]], at[np.r_[ends, len(at) - 1]], strict=True):
-            own.update(x for x in raw[i : j + GRAM].split(b" ") if len(x) >= 4)
-        found.update(own)
-    return found
-
-
-def _joined(counts: list[tuple[bytes, int]], size: int) -> bytes:
-    return b" ".join(x for x, _ in reversed(counts))[-size:]
+    """Words that many toxic and hardly any ordinary documents have, with the number of toxic documents."""
+    seen, other = Counter(x for b in toxic for x in _distinct(b)), Counter(x for b in ordinary for x in _distinct(b))
+    return Counter({x: n for x, n in seen.items() if n >= 3 and n / len(toxic) >= 8 * (other[x] + 1) / len(ordinary)})
+
+
+def _joined(counts: Counter, size: int) -> bytes:
+    """The most frequent words that fit in the size, the most frequent last."""
+    return b"".join(x for x, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))[: size // CODE][::-1])
 
 
 def fit(toxic: list[str], ordinary: list[str], seed: int = 5) -> Model:
@@ -135,14 +130,12 @@ def fit(toxic: list[str], ordinary: list[str], seed: int = 5) -> Model:
     if len(set(pos)) < 5 or len(set(neg)) < 10:
         return Model(rate=rate)
     parts = _typical(sorted(set(pos)), sorted(set(neg)))
-    extra = _joined(parts.most_common(400), EXTRA)
+    extra = _joined(parts, EXTRA)
     if not extra:
         return Model(rate=rate)
     half = len(neg) // 2
-    words: Counter = Counter()
-    for b in neg[:half]:
-        words.update(x for x in set(b.split(b" ")) if len(x) >= 4)
-    instead = _joined(words.most_common(800), len(extra)).rjust(len(extra))
+    words = Counter(x for b in neg[:half] for x in _distinct(b))
+    instead = _joined(words, len(extra)).rjust(len(extra))
     pieces = [b[i : i + WINDOW] for b in neg[:half] for i in range(0, len(b), STRIDE)]
     random.Random(seed).shuffle(pieces)
     try:

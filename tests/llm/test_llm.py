@@ -249,6 +249,16 @@ def test_toxicity_held_out(spark, odd, none):
     assert {r.score for r in toxicity.score(odd, blank).collect()} == {0.0}
 
 
+def test_toxicity_held_out_in_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    hit = [r.toxic for r in got if r.predicted]
+    assert sum(hit) >= 0.8 * len(hit)
+    for lang in ("en", "de", "es", "fr"):
+        toxic = [r.predicted for r in got if r.lang == lang and r.toxic]
+        assert sum(toxic) >= 0.6 * len(toxic), lang
+
+
 def test_language_model(spark, documents, odd, none):
     want = brute.kneser_ney([t for i, t in documents if not brute.held(i, 7, 2)], documents)
     for r in queries.op10_lm(spark, SF).collect():
