@@ -11,6 +11,7 @@ group of near copies costs block pairs and no row for each pair. Classes are the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -123,8 +124,10 @@ def _verified(rep: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side:
     if not len(one) or not len(two):
         return []
     size = np.array([len(x) for x in sets])
-    common = _overlaps([sets[i] for i in one], [sets[i] for i in two])
-    linked = common * (1 + threshold) >= threshold * (size[one][:, None] + size[two][None]) - 1e-6
+    common = _overlaps([sets[i] for i in one], [sets[i] for i in two]).astype(np.int64)
+    # In integers, so that a pair right at the threshold is linked.
+    p, q = Fraction(str(threshold)).as_integer_ratio()
+    linked = common * (p + q) >= p * (size[one][:, None] + size[two][None])
     if two is one:
         np.fill_diagonal(linked, False)
     links = np.zeros(len(rep), np.int64)

@@ -149,6 +149,15 @@ def test_near_copies_in_a_large_group(spark):
     assert ngram_join.keep_one_of_each(df).count() == 4
 
 
+def test_near_copies_right_at_the_threshold():
+    """Similarity 4k of 5k is linked, one shingle less is not."""
+    for k in [3, 54, *range(1, 400, 7)]:
+        a, b = np.arange(4 * k, dtype=np.uint64), np.arange(5 * k, dtype=np.uint64)
+        linked = ngram_join._verified(np.array([1, 2]), np.array([1, 1]), [a, b], np.zeros(2, int), 0.8)
+        assert linked == [(1, 1, 1), (2, 1, 1)], k
+        assert ngram_join._verified(np.array([1, 2]), np.array([1, 1]), [a[1:], b], np.zeros(2, int), 0.8) == []
+
+
 def test_near_copies_odd(odd):
     got = ngram_join.similar(odd)
     assert got.count() == len(TEXTS) + 1
