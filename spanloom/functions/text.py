@@ -31,10 +31,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once, where f uses it within a lambda function."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def shingles(tokens: Column, k: int = 3) -> Column:
     """Distinct k-token shingles; a shorter list is one shingle, an empty one has none."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(F.size(tokens) > 0, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))
+    many = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), " "))
+    return once(tokens, lambda t: F.when(F.size(t) > 0, F.array_distinct(many(t))).otherwise(F.array().cast("array<string>")))
 
 
 def small_hash(text: Column) -> Column:
@@ -44,9 +49,9 @@ def small_hash(text: Column) -> Column:
 
 def minhash(shingle_list: Column, slots: int = 32) -> Column:
     """Signature slots min((7i + 13) * h + 11i + 17 mod PRIME); an empty set has zeros."""
-    hashed = F.transform(shingle_list, small_hash)
-    one = lambda i: F.array_min(F.transform(hashed, lambda h: ((7 * i + 13) * h + (11 * i + 17)) % F.lit(PRIME)))
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")), lambda i: F.coalesce(one(i), F.lit(0).cast("long")))
+    one = lambda hashed, i: F.array_min(F.transform(hashed, lambda h: ((7 * i + 13) * h + (11 * i + 17)) % F.lit(PRIME)))
+    slot = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
+    return once(F.transform(shingle_list, small_hash), lambda hashed: F.transform(slot, lambda i: F.coalesce(one(hashed, i), F.lit(0).cast("long"))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -58,10 +58,10 @@ def exact_hash_link(spark, sf_dir):
     return link.exact_link(left, link.sentence_hashes(table(spark, sf_dir, "benchmark"), "item_id"))
 
 
-def _cut(spark, sf_dir, words: int = 40):
-    """Opening words of documents and benchmark items, as the two sides of fuzzy links."""
-    opening = lambda df, i: df.select(F.col(i).alias("id"), F.array_join(F.slice(F.split(T.normalise(F.col("text")), " "), 1, words), " ").alias("text"))
-    return opening(table(spark, sf_dir, "documents"), "doc_id"), opening(table(spark, sf_dir, "benchmark"), "item_id")
+def _whole(spark, sf_dir):
+    """Documents and benchmark items, normalised, as the two sides of fuzzy links."""
+    side = lambda df, i: df.select(F.col(i).alias("id"), T.normalise(F.col("text")).alias("text"))
+    return side(table(spark, sf_dir, "documents"), "doc_id"), side(table(spark, sf_dir, "benchmark"), "item_id")
 
 
 def _cut_sql(key: str, name: str) -> str:
@@ -77,13 +77,13 @@ WITH a AS ({_cut_sql("doc_id", "documents")}), sh AS (
 x AS (SELECT id, unnest(list_transform(sh, lambda s: CAST(concat('0x', substring(md5(s), 1, 7)) AS BIGINT))) AS h FROM sh)
 SELECT id, CAST(i AS INTEGER) AS slot, min(((7 * i + 13) * h + (11 * i + 17)) % 1000000007) AS value FROM x, (SELECT unnest(range(0, 8)) AS i) GROUP BY id, i""")
 def minhash_signature(spark, sf_dir):
-    docs, _ = _cut(spark, sf_dir)
+    docs, _ = _whole(spark, sf_dir)
     return docs.select("id", F.posexplode(T.minhash(T.shingles(F.split("text", " ")), 8)).alias("slot", "value"))
 
 
 @query()
 def lsh_link(spark, sf_dir):
-    docs, items = _cut(spark, sf_dir)
+    docs, items = _whole(spark, sf_dir)
     return link.lsh_link(link.signatures(docs, "id", 32), link.signatures(items, "id", 32)).select("id", "match_id", "similarity", "rank")
 
 
@@ -95,13 +95,13 @@ p AS (SELECT id, rid, row_number() OVER (PARTITION BY id ORDER BY bucket, rid) A
 s AS (SELECT id, rid, n, CASE WHEN len(w) + len(rw) = 0 THEN 0.0 ELSE CAST(len(list_intersect(w, rw)) AS DOUBLE) / (len(w) + len(rw) - len(list_intersect(w, rw))) END AS similarity FROM p WHERE n <= 100)
 SELECT id, rid AS match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, n) AS k FROM s WHERE similarity >= 0.3) WHERE k = 1""")
 def length_jaccard_link(spark, sf_dir):
-    docs, items = _cut(spark, sf_dir)
+    docs, items = _whole(spark, sf_dir)
     return link.length_jaccard_link(docs, items, threshold=0.3)
 
 
 @query()
 def cascade_link(spark, sf_dir):
-    docs, items = _cut(spark, sf_dir)
+    docs, items = _whole(spark, sf_dir)
     exact = link.exact_link(link.sentence_hashes(table(spark, sf_dir, "documents"), "doc_id"), link.sentence_hashes(table(spark, sf_dir, "benchmark"), "item_id"))
     lsh = link.lsh_link(link.signatures(docs, "id", 32), link.signatures(items, "id", 32)).where("rank = 1")
     near = link.length_jaccard_link(docs, items, threshold=0.5)
