@@ -483,8 +483,8 @@ def clean_spans(spark, sf_dir):
 
 @query("SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
 def mojibake_fix(spark, sf_dir):
-    """Plain ASCII texts stay as they are."""
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", kernels.repair_encoding("text").alias("text"))
+    """All documents, with broken encoding put right."""
+    return table(spark, sf_dir, "documents").select("doc_id", kernels.repair_encoding("text").alias("text"))
 
 
 @query()

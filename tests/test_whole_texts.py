@@ -36,3 +36,10 @@ def test_links_by_whole_texts(spark, linked):
     assert {r.id: (r.match_id, r.stage) for r in registry.cascade_link(spark, linked).collect()} == {1: (None, "none"), 2: (8, "lsh")}
     got = {r.id: (r.match_id, round(r.similarity, 6)) for r in registry.length_jaccard_link(spark, linked).collect()}
     assert got == {2: (8, round(100 / 104, 6))}
+
+
+def test_encoding_of_all_documents(spark, tmp_path):
+    texts = ["plain", "café", "cafÃ©", "fÃ¼r 10 â‚¬", "漢字", "", None]
+    want = ["plain", "café", "café", "für 10 €", "漢字", "", None]
+    sf_dir = put(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in registry.mojibake_fix(spark, sf_dir).collect()) == list(enumerate(want))
