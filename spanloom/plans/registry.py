@@ -119,7 +119,7 @@ SELECT a.id, b.rid AS match_id, CAST(b.d AS INTEGER) AS distance, b.rid IS NOT N
 def levenshtein_link(spark, sf_dir):
     """Documents whose first sentence starts alike and whose second is within ten edits of an earlier document's."""
     s = T.leading_sentences(F.col("text"), 2)
-    side = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring(F.element_at(s, 1), 1, 12).alias("block"), F.substring(F.element_at(s, 2), 1, 60).alias("s"))
+    side = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring(F.element_at(s, 1), 1, 12).alias("block"), F.element_at(s, 2).alias("s"))
     r = side.select(F.col("id").alias("rid"), "block", F.col("s").alias("rs")).where("rs <> ''")
     near = side.where("s <> ''").join(r, "block").where("rid < id").withColumn("d", F.levenshtein("s", "rs", 10)).where("d >= 0")
     best = near.groupBy("id").agg(F.min(F.struct("d", "rid")).alias("m"))

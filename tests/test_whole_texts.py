@@ -43,3 +43,11 @@ def test_encoding_of_all_documents(spark, tmp_path):
     want = ["plain", "café", "café", "für 10 €", "漢字", "", None]
     sf_dir = put(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted((r.doc_id, r.text) for r in registry.mojibake_fix(spark, sf_dir).collect()) == list(enumerate(want))
+
+
+def test_distance_of_whole_sentences(spark, tmp_path):
+    """Documents 0 and 1 agree in 60 characters and differ after them; document 2 is one edit from document 1."""
+    same = "x" * 60
+    docs = [(0, f"A first sentence. {same}{'a' * 20}."), (1, f"A first sentence. {same}{'b' * 20}."), (2, f"A first sentence. {same}{'b' * 19}c.")]
+    got = registry.levenshtein_link(spark, put(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()
+    assert sorted((r.id, r.match_id, r.distance) for r in got if r.matched) == [(2, 1, 1)] and len(got) == 3
