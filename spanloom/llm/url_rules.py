@@ -67,8 +67,8 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 def mine_rules(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, most_rules: int = 2_000, longest: int = 3) -> list[tuple[frozenset[str], str, float, float]]:
     """Association rules from (tokens, verdict) rows: antecedent, verdict, confidence, support; the best first.
 
-    At most `most_rules` come to the driver, the most confident (then best supported) of those that pass both limits. Rules of
-    over `longest` tokens are left out. No rows, no rules.
+    The rules that pass both limits come to the driver; more than `most_rules` of them are an error, as any cut could drop needed
+    ones. Rules of over `longest` tokens are left out. No rows, no rules.
     """
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(VERDICT), F.col("verdict")))).alias("items"))
     if baskets.isEmpty():
@@ -76,7 +76,9 @@ def mine_rules(labelled: DataFrame, support: float = 0.005, confidence: float =
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.startswith(F.element_at("consequent", 1), F.lit(VERDICT)) & (F.size("antecedent") <= longest))
     rules = rules.withColumn("antecedent", F.sort_array("antecedent"))
-    best = rules.orderBy(F.col("confidence").desc(), F.col("support").desc(), F.size("antecedent"), F.to_json("antecedent")).limit(most_rules).collect()
+    best = rules.orderBy(F.col("confidence").desc(), F.col("support").desc(), F.size("antecedent"), F.to_json("antecedent")).limit(most_rules + 1).collect()
+    if len(best) > most_rules:
+        raise ValueError(f"more than {most_rules} rules pass the limits: raise support, confidence or most_rules")
     kept: list[tuple[frozenset[str], str, float, float]] = []
     for r in sorted(best, key=lambda r: (len(r.antecedent), -r.confidence, -r.support, r.antecedent)):
         have, verdict = frozenset(r.antecedent), r.consequent[0].removeprefix(VERDICT)

@@ -209,6 +209,13 @@ def test_mined_rules_match_brute_force(spark):
             assert r.verdict == next((v for have, v, _, _ in mined if have <= set(r.tokens)), "allow")
 
 
+def test_too_many_mined_rules_are_an_error(spark):
+    labelled = spark.createDataFrame([(["a", "b"], "allow"), (["c"], "deny")], "tokens array<string>, verdict string")
+    assert len(url_rules.mine_rules(labelled, most_rules=4)) == 3
+    with pytest.raises(ValueError, match="more than 3 rules"):
+        url_rules.mine_rules(labelled, most_rules=3)
+
+
 def test_exact(spark, documents, odd, none):
     got = queries.op7_exact_dedup(spark, SF)
     assert rows(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute.exact(documents), key=repr)
