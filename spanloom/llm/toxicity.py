@@ -1,13 +1,16 @@
 """Toxicity by compression distance.
 
-Texts are compressed as sequences of codes, one of eight bytes a word, so that only whole words match, whatever the language. There
-are two dictionaries: both hold one that zstandard trains on ordinary text; the toxic one also gets the words that many toxic and
-hardly any ordinary documents have, the ordinary one as many frequent ordinary words instead. A document is compressed window by
-window with both; a window's gain is the number of bytes that the toxic dictionary saves. The threshold on gains is calibrated on
-ordinary documents, and a logistic curve over a document's highest gains and its windows over the threshold gives the score.
+Texts are compressed as sequences of codes, one of eight bytes a word, so that only whole words match, whatever the language.
+zstandard trains two dictionaries: one on windows of ordinary texts, one on toxic texts from which the words are cut that ordinary
+texts have about as often (what both classes share would fill the dictionary and outweigh the few words that differ).
+The toxic dictionary follows the ordinary one, so that shared wording costs both alike. A document is compressed window by window
+with both; a window's gain is the number of bytes that the toxic dictionary saves. The threshold on gains is calibrated on ordinary
+documents that no dictionary was trained on, and a logistic curve over a document's highest gains and its windows over the threshold
+gives the score.
 
 Dictionaries, threshold and curve are fitted on a bounded sample of labelled rows (MOST_TOXIC and MOST_ORDINARY rows, texts of at
-most MOST_BYTES bytes, the smallest by a hash of the id); what is scored is never cut or sampled.
+most MOST_BYTES bytes, the smallest by a hash of the id; MOST_PIECES windows of them for the ordinary dictionary); what is scored is
+never cut or sampled: every window of a text of any length counts.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from ._common import text_of
 
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1_200, 3_000, 16_384
 WINDOW, STRIDE, CODE, LEVEL = 64, 40, 8, 3
-DICTIONARY, EXTRA = 16_384, 4_096
+DICTIONARY, TOXIC_DICTIONARY, MOST_PIECES = 16_384, 6_144, 40_000
+#: A word of a toxic text is learned if so many toxic texts have it, and it is so many times as common there as in ordinary texts.
+TOXIC_TEXTS, TIMES = 3, 8
 
 
 class _Codes(dict):
@@ -112,15 +117,20 @@ def _distinct(raw: bytes) -> set[bytes]:
     return {raw[i : i + CODE] for i in range(0, len(raw), CODE)}
 
 
-def _typical(toxic: list[bytes], ordinary: list[bytes]) -> Counter:
-    """Words that many toxic and hardly any ordinary documents have, with the number of toxic documents."""
-    seen, other = Counter(x for b in toxic for x in _distinct(b)), Counter(x for b in ordinary for x in _distinct(b))
-    return Counter({x: n for x, n in seen.items() if n >= 3 and n / len(toxic) >= 8 * (other[x] + 1) / len(ordinary)})
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The dictionary that zstandard trains on the samples; where they are too few for it, the end of them."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=CODE).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
-def _joined(counts: Counter, size: int) -> bytes:
-    """The most frequent words that fit in the size, the most frequent last."""
-    return b"".join(x for x, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))[: size // CODE][::-1])
+def _apart(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The toxic texts without the words that ordinary texts have about as often, or that hardly any toxic text has."""
+    seen, other = Counter(x for b in toxic for x in _distinct(b)), Counter(x for b in ordinary for x in _distinct(b))
+    learned = {x for x, n in seen.items() if n >= TOXIC_TEXTS and n / len(toxic) >= TIMES * (other[x] + 1) / len(ordinary)}
+    cut = (b"".join(x for x in (b[i : i + CODE] for i in range(0, len(b), CODE)) if x in learned) for b in toxic)
+    return [x for x in cut if x]
 
 
 def fit(toxic: list[str], ordinary: list[str], seed: int = 5) -> Model:
@@ -129,20 +139,14 @@ def fit(toxic: list[str], ordinary: list[str], seed: int = 5) -> Model:
     pos, neg = [plain(x) for x in toxic], [plain(x) for x in ordinary]
     if len(set(pos)) < 5 or len(set(neg)) < 10:
         return Model(rate=rate)
-    parts = _typical(sorted(set(pos)), sorted(set(neg)))
-    extra = _joined(parts, EXTRA)
-    if not extra:
+    apart = _apart(sorted(set(pos)), sorted(set(neg)))
+    if not apart:
         return Model(rate=rate)
     half = len(neg) // 2
-    words = Counter(x for b in neg[:half] for x in _distinct(b))
-    instead = _joined(words, len(extra)).rjust(len(extra))
     pieces = [b[i : i + WINDOW] for b in neg[:half] for i in range(0, len(b), STRIDE)]
     random.Random(seed).shuffle(pieces)
-    try:
-        base = zstandard.train_dictionary(DICTIONARY, pieces[:40_000]).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        base = b"".join(pieces)[-DICTIONARY:]
-    model = Model(base + instead, base + extra, rate=rate)
+    base, own = _trained(pieces[:MOST_PIECES], DICTIONARY, 2 * WINDOW), _trained(apart, TOXIC_DICTIONARY, WINDOW)
+    model = Model(base + bytes(len(own)), base + own, rate=rate)
     scorer = Scorer(model)
     gains = [scorer.gains(b) for b in pos], [scorer.gains(b) for b in neg[half:]]
     model.threshold = next(k for k in range(1, WINDOW + 2) if np.mean([g.max() >= k for g in gains[1]]) <= 0.03)
@@ -165,7 +169,12 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled rows that are not held out. Labels that are null, ids that are null and null texts are left out."""
+    """Fit on labelled rows that are not held out; eager.
+
+    Null labels, ids and texts are left out, and texts over MOST_BYTES; empty texts count. An id with several labels is toxic if one
+    says so. Ties in the order of the sample go to the smaller id. Other columns are not read, whatever their names. With an empty
+    table, no labels or one class only, the score of every text is the rate of label 1.
+    """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & ~held_out("id"))
     marked = marked.groupBy("id").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("id", F.lit(9)))
     chosen = [marked.where(F.col("label") == label).orderBy("order", "id").limit(most) for label, most in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
@@ -179,8 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, score, predicted. No shuffle.
 
-    A null text counts as empty; an empty text has one window without gain and so a low score. Null ids are kept and never held
-    out. Repeated rows give repeated results; an empty table gives an empty result.
+    A null text counts as empty; an empty text has one window without gain and so a low score. A text of any length is scored over
+    all its windows. Null ids are kept and never held out. Repeated rows give repeated results; an empty table gives an empty result.
+    Other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 50 kB
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -196,7 +206,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows that are not predicted toxic, with their columns as they were. No shuffle: the score is taken beside the row."""
+    """The rows that are not predicted toxic, with their columns as they were. No shuffle: the score is taken beside the row.
+
+    Null and empty texts, null ids and repeated rows are judged as in `score`, each row by itself. An empty table gives an empty one.
+    No column is added, so no name can clash.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
