@@ -28,7 +28,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty; all empty texts are equal. A null id sorts after every other id; of rows with the same smallest
-    id exactly one is kept. An empty table gives an empty result. Columns other than the two named are not read.
+    id exactly one is kept, also among fully repeated rows. Texts of any length are compared whole. An empty table gives an empty
+    result. Columns other than the two named are not read, whatever their names.
     """
     spark = docs.sparkSession
     levels = max(1, math.ceil(math.log(max(2, shuffle_partitions(spark)), fan_in)))
@@ -65,10 +66,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with their columns as they were; one row of each group of equal texts.
 
-    The decisions come from `exact_dedup`; texts travel once, by id. Of fully repeated rows (same id and text) one stays.
+    The decisions come from `exact_dedup`; texts travel once, by id. Of fully repeated rows (same id and text) one stays. Cases as
+    there; other columns travel packed, so no name can clash.
     """
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__stay_id"), F.col("text_sha256").alias("__stay_sha"))
-    held = docs.withColumn("__sha", F.sha2(normalised(text_col), 256))
-    joined = held.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__sha") == F.col("__stay_sha")))
-    once = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__stay_id", "__stay_sha").orderBy(F.lit(1))))
-    return once.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(text_col), 256).alias("sha"))
+    joined = packed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("sha") == F.col("stay_sha")))
+    once = joined.withColumn("n", F.row_number().over(Window.partitionBy("stay_id", "stay_sha").orderBy(F.lit(1))))
+    return once.where("n = 1").select("row.*")
