@@ -1,11 +1,15 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
 Texts become sets of hashed five-word shingles; equal sets are collapsed to one representative, so copies are never paired. Each
-set gets a forest of TREES prefix tries over min-hash signatures. The matched prefix starts at DEEPEST slots and is shortened until
-the forest finds a pair at the threshold with the target recall. Sorting the prefixes of a tree brings the texts of a trie node
-together; a node links its members to its smallest one (never all pairs), and the linked texts form candidate groups. The exact
-step then computes the Jaccard similarity of all pairs within a group, in blocks of bounded size as matrix products, so a large
-group of near copies costs block pairs and no row for each pair. Classes are the connected sets of verified links.
+set has TREES signatures of DEEPEST min-hash slots, a byte a slot, packed in a long: the sorted signatures of a tree are its prefix
+trie, and a node of depth d is the run of signatures with equal first d bytes. The matched prefix starts at DEEPEST slots. Links that
+the deepest nodes of the first tree give are verified on a bounded sample; weighted by how likely each was found there, they tell the
+recall of any depth, and the prefix is shortened until the target recall is reached (see `fitted_depth`).
+
+The members of a node hang on its smallest one (never all pairs), and linked texts form candidate groups. The exact step computes the
+Jaccard similarity of all pairs of a small group. A large group is cut into blocks of texts that hang on the same smallest text, and
+two blocks meet only if some trie node has texts of both, so a chain of groups costs its neighbours and not all pairs. Pairs are
+compared in blocks of bounded size as matrix products, so no row is made for a pair. Classes are the connected sets of links.
 """
 
 from __future__ import annotations
@@ -25,12 +29,28 @@ from ._common import WordHashes, checkpoint, mix64, text_of
 WORDS, THRESHOLD, TREES, DEEPEST, RECALL = 5, 0.8, 24, 8, 0.9999
 #: Texts in a block of the exact step; texts that are packed to one task when their groups are small.
 BLOCK, PACK = 256, 128
+#: Pairs of texts that the depth is fitted on; the part of the estimate that stands for pairs right at the threshold.
+SAMPLE, AT_THRESHOLD = 1_000, 0.1
 
 
-def matched_depth(trees: int, threshold: float, recall: float, deepest: int = DEEPEST) -> int:
-    """Shorten the prefix until a pair at the threshold shares one in some tree with the target recall."""
+def found_share(similarity: np.ndarray, depth: int, trees: int) -> np.ndarray:
+    """How likely pairs of these similarities share a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def matched_depth(trees: int, threshold: float, recall: float, links: np.ndarray | None = None, deepest: int = DEEPEST) -> int:
+    """Shorten the prefix until the target recall, estimated from the similarities of links that the deepest nodes of one tree gave.
+
+    A link counts as often as links like it are missed there (the inverse of its chance). Links at the threshold itself, which deep
+    prefixes miss most, always have AT_THRESHOLD of the weight; without any link they have all of it.
+    """
     depth = deepest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1:
+        share = found_share(np.array([threshold]), depth, trees)[0]
+        if links is not None and len(links):
+            share = AT_THRESHOLD * share + (1 - AT_THRESHOLD) * np.average(found_share(links, depth, trees), weights=links ** -float(deepest))
+        if share >= recall:
+            break
         depth -= 1
     return depth
 
@@ -55,14 +75,15 @@ def _digest(sh: np.ndarray) -> bytes | None:
 
 
 class Forest:
-    def __init__(self, trees: int, depth: int, seed: int = 11) -> None:
+    """The signatures of sets, cut to `depth` slots: DEEPEST slots a tree, a byte each, the first slot in the highest byte."""
+
+    def __init__(self, trees: int, depth: int = DEEPEST, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        self.trees, self.depth = trees, depth
-        self.a = (rng.integers(0, 2**31, trees * depth, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-        self.b = rng.integers(0, 2**32, trees * depth, dtype=np.uint32)
+        self.trees, self.cut = trees, np.uint64(8 * (DEEPEST - depth))
+        self.a = (rng.integers(0, 2**31, trees * DEEPEST, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+        self.b = rng.integers(0, 2**32, trees * DEEPEST, dtype=np.uint32)
 
     def prefixes(self, sh: np.ndarray) -> list[int]:
-        """A hash of the matched prefix in each tree."""
         x = (sh >> np.uint64(32)).astype(np.uint32)
         low = np.full(len(self.a), 2**32 - 1, np.uint32)
         for at in range(0, len(x), 2048):
@@ -72,11 +93,8 @@ class Forest:
             y ^= y >> np.uint32(15)
             y *= np.uint32(0x2C1B3C6D)
             np.minimum(low, y.min(1), out=low)
-        slots = low.reshape(self.trees, self.depth).astype(np.uint64)
-        out = np.arange(self.trees, dtype=np.uint64)
-        for d in range(self.depth):
-            out = mix64(out) + slots[:, d]
-        return mix64(out).view(np.int64).tolist()
+        slots = (low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+        return slots.reshape(self.trees, DEEPEST).view(">u8").ravel().astype(np.uint64).__rshift__(self.cut).view(np.int64).tolist()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -117,10 +135,10 @@ def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verified(rep: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    """(rep, links, root) within one block (sides all 0) or between two blocks (sides 0 and 1)."""
+def _verified(rep: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, threshold: float, pair: bool = False) -> list[tuple[int, int, int]]:
+    """(rep, links, root) within one block (not `pair`) or between two blocks (sides 0 and 1)."""
     one = np.flatnonzero(side == 0)
-    two = np.flatnonzero(side == 1) if side.any() else one
+    two = np.flatnonzero(side == 1) if pair else one
     if not len(one) or not len(two):
         return []
     size = np.array([len(x) for x in sets])
@@ -149,76 +167,124 @@ def _verified(rep: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side:
     return [(int(rep[i]), int(links[i]), int(rep[find(i)])) for i in range(len(rep)) if links[i]]
 
 
+def _similarity(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
+
+
+def fitted_depth(source: DataFrame, reps: DataFrame, words: int, threshold: float, trees: int, recall: float) -> int:
+    """The depth from at most SAMPLE pairs (the smallest by a hash) that share a node of the first tree at the deepest level."""
+    one = reps.select("rep", F.col("first.id").alias("id"), F.col("first.hash").alias("hash"), F.try_element_at("signatures", F.lit(1)).alias("node")).where("node IS NOT NULL")
+    hubs = one.groupBy("node").agg(F.min(F.struct("rep", "id", "hash")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = one.join(hubs, "node").where("hub.rep <> rep").orderBy(F.xxhash64("rep", "hub.rep"), "rep").limit(SAMPLE)
+    near = near.select(F.xxhash64("rep", "hub.rep").alias("pair"), F.explode(F.array(F.struct("id", "hash"), F.struct("hub.id", "hub.hash"))).alias("of"))
+    # At most 2 * SAMPLE rows are broadcast.
+    want = F.broadcast(checkpoint(near.select("pair", F.col("of.id").alias("want_id"), F.col("of.hash").alias("want_hash"))))
+    texts = source.join(want, (F.col("hash") == F.col("want_hash")) & F.col("id").eqNullSafe(F.col("want_id"))).dropDuplicates(["pair", "hash"])
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(x, words) for x in part["text"]]
+        return pd.DataFrame({"s": [_similarity(*sets)] if len(sets) == 2 else []}, dtype="float64")
+
+    links = np.array([r.s for r in texts.select("pair", "text").groupBy("pair").applyInPandas(compare, "s double").collect()])
+    return matched_depth(trees, threshold, recall, links[links >= threshold])
+
+
+def _units(members: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, unit, side, pair): the units of comparison that a text takes part in.
+
+    A small group is one unit. The texts of a large one are dealt by the text they hang on, in slices of about BLOCK; slices of the
+    same such text always meet, those of different ones if a trie node has texts of both.
+    """
+    whole = members.where(F.col("n") <= BLOCK).select("node", F.col("label").alias("unit"), F.lit(0).alias("side"), F.lit(False).alias("pair"))
+    large = members.where(F.col("n") > BLOCK)
+    if large.isEmpty():
+        return whole
+    hung = checkpoint(large.select("node").join(own.select(F.col("rep").alias("node"), "a"), "node", "left").select("node", F.coalesce("a", "node").alias("a")))
+    slices = checkpoint(hung.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slices")))
+    hung = hung.join(slices, "a").withColumn("i", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    i, j = F.col("i"), F.col("j")
+    inner = hung.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    inner = inner.select("node", F.xxhash64("a", F.least(i, j), F.greatest(i, j)).alias("unit"), (i > j).cast("int").alias("side"), (i != j).alias("pair"))
+    there = nodes.join(hung.select(F.col("node").alias("rep"), "a"), "rep").select("tree", "prefix", "a").distinct()
+    meet = there.join(there.withColumnRenamed("a", "other"), ["tree", "prefix"]).where("a <> other").select("a", "other").distinct()
+    meet = meet.join(slices.select(F.col("a").alias("other"), F.col("slices").alias("others")), "other")
+    first = F.col("a") < F.col("other")
+    outer = hung.join(meet, "a").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    unit = F.when(first, F.xxhash64("a", "i", "other", "j")).otherwise(F.xxhash64("other", "j", "a", "i"))
+    outer = outer.select("node", unit.alias("unit"), F.when(first, 0).otherwise(1).alias("side"), F.lit(True).alias("pair"))
+    return whole.unionAll(inner).unionAll(outer)
+
+
 def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), n_links (rows, its copies too, at or over the threshold), first_of_class, text_hash.
 
     Words are split at space and U+0009 to U+000D. A text of fewer words than a shingle is one shingle; one without words (or
-    null) links to nothing and is a class of its own, named by its own id. A null id sorts last; `first_of_class` is true for
-    exactly one row of a class, also among fully repeated rows. An empty table gives an empty result.
+    null) links to nothing and is a class of its own, named by its own id. Texts of any length are compared whole. A null id sorts
+    last; `first_of_class` is true for exactly one row of a class, also among repeated ids and fully repeated rows. Similarities
+    are compared as whole numbers, so a pair right at the threshold is linked. An empty table gives an empty result. Other columns
+    are not read, whatever their names.
     """
-    depth = matched_depth(trees, threshold, recall)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("hash"))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest(trees, depth)
+        forest = Forest(trees)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sets = [shingles(x.as_py(), words) for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([forest.prefixes(x) if len(x) else [] for x in sets], pa.list_(pa.int64())), batch.column(2)], ["id", "digest", "prefixes", "hash"]
+                    [batch.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([forest.prefixes(x) if len(x) else [] for x in sets], pa.list_(pa.int64())), batch.column(2)], ["id", "digest", "signatures", "hash"]
                 )
 
-    rows = source.mapInArrow(signed, f"id {kind}, digest binary, prefixes array<long>, hash long").withColumn("rid", F.monotonically_increasing_id())
+    rows = source.mapInArrow(signed, f"id {kind}, digest binary, signatures array<long>, hash long").withColumn("rid", F.monotonically_increasing_id())
     rows = checkpoint(rows.withColumn("set", F.coalesce("digest", F.encode(F.col("rid").cast("string"), "utf-8"))))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")
-    reps = checkpoint(rows.groupBy("set").agg(first, F.count(F.lit(1)).alias("copies"), F.first("prefixes").alias("prefixes"), F.first("digest").alias("digest")).withColumn("rep", F.col("first.rid")))
-    nodes = reps.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid", "hash")).alias("first")
+    reps = checkpoint(rows.groupBy("set").agg(first, F.count(F.lit(1)).alias("copies"), F.first("signatures").alias("signatures"), F.first("digest").alias("digest")).withColumn("rep", F.col("first.rid")))
+    depth = fitted_depth(source, reps, words, threshold, trees, recall)
+    nodes = reps.select("rep", F.posexplode("signatures").alias("tree", "signature")).select("rep", "tree", F.shiftrightunsigned("signature", 8 * (DEEPEST - depth)).alias("prefix"))
     hubs = nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # A text hangs on the smallest of its hubs only, and its hubs (at most one a tree) on one another: the same connected sets with
     # about one edge a text.
-    own = nodes.join(hubs, ["tree", "prefix"]).where("hub <> rep").groupBy("rep").agg(F.min("hub").alias("a"), F.collect_set("hub").alias("hubs"))
+    own = checkpoint(nodes.join(hubs, ["tree", "prefix"]).where("hub <> rep").groupBy("rep").agg(F.min("hub").alias("a"), F.collect_set("hub").alias("hubs")))
     edges = own.select("a", F.explode(F.array_append("hubs", F.col("rep"))).alias("b")).where("a <> b")
     groups = connected(edges)
     sizes = checkpoint(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
-    packs = max(1, -(-groups.count() // PACK))
-    members = groups.join(sizes, "label").join(reps.select(F.col("rep").alias("node"), "copies", "digest", F.col("first.id").alias("id")), "node")
-    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    members = checkpoint(groups.join(sizes, "label").join(reps.select(F.col("rep").alias("node"), "copies", "digest", "first.id", "first.hash"), "node"))
+    units = checkpoint(_units(members, own, nodes))
+    packs = max(1, -(-units.count() // PACK))
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # fully repeated rows of a text are handed on once a task
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 sets = [shingles(x.as_py(), words) for x in batch.column(0)]
-                same = pa.array([_digest(x) == d.as_py() for x, d in zip(sets, batch.column(1), strict=True)], pa.bool_())
+                keep = []
+                for x, d, node in zip(sets, batch.column(1), batch.column(2), strict=True):
+                    keep.append(node.as_py() not in seen and _digest(x) == d.as_py())
+                    if keep[-1]:
+                        seen.add(node.as_py())
                 out = [pa.array([x.tobytes() for x in sets], pa.binary()), *batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays(out, ["sh", *batch.schema.names[2:]]).filter(same)
-
-    texts = members.join(source, members["id"].eqNullSafe(source["id"])).select("text", "digest", "node", "copies", "label", "blocks")
-    held = texts.mapInArrow(as_sets, "sh binary, node long, copies long, label long, blocks int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    large = F.col("blocks") > 1
+                yield pa.RecordBatch.from_arrays(out, ["sh", *batch.schema.names[2:]]).filter(pa.array(keep, pa.bool_()))
 
-    def pair(smaller: Column, larger: Column) -> Column:
-        return F.struct(F.col("label").alias("g"), smaller.alias("p"), larger.alias("q"), F.when(smaller == larger, 0).when(own == larger, 1).otherwise(0).alias("side"))
+    wanted = members.select("node", "copies", "digest", F.col("id").alias("want_id"), F.col("hash").alias("want_hash"))
+    texts = source.join(wanted, (F.col("hash") == F.col("want_hash")) & F.col("id").eqNullSafe(F.col("want_id"))).select("text", "digest", "node", "copies")
+    held = texts.mapInArrow(as_sets, "sh binary, node long, copies long").join(units, "node")
+    held = held.withColumn("pack", F.pmod(F.xxhash64("unit"), F.lit(packs)))
 
-    pairs = F.when(large, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: pair(F.least(own, j), F.greatest(own, j))))
-    packed = F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(packs)).alias("g"), F.lit(-1).alias("p"), F.lit(-1).alias("q"), F.lit(0).alias("side")))
-    held = held.withColumn("to", F.explode(F.coalesce(pairs, packed))).select("sh", "node", "copies", "label", "to.*")
-
-    def check(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        for _, one in part.drop_duplicates(["label", "node"]).groupby("label"):
+    def check(part: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int, bool]] = []
+        for (_, pair), one in part.drop_duplicates(["unit", "pair", "node"]).groupby(["unit", "pair"]):
             sets = [np.frombuffer(x, np.uint64) for x in one["sh"]]
-            out += _verified(one["node"].to_numpy(), one["copies"].to_numpy(), sets, one["side"].to_numpy(), threshold)
-        frame = pd.DataFrame(out, columns=["rep", "links", "root"], dtype="int64")
-        frame["whole"] = key[1] < 0
-        return frame
-
-    found = checkpoint(held.groupBy("g", "p", "q").applyInPandas(check, "rep long, links long, root long, whole boolean"))
-    split = found.where("NOT whole AND rep <> root")
-    roots = found.where("whole").select("rep", "root")
+            out += _verified(one["node"].to_numpy(), one["copies"].to_numpy(), sets, one["side"].to_numpy(), threshold, bool(pair))
+        return pd.DataFrame(out, columns=["rep", "links", "root"], dtype="int64")
+
+    found = checkpoint(held.groupBy("pack").applyInPandas(check, "rep long, links long, root long"))
+    # A text of a small group has one root already; the roots of a large one are put together.
+    split = found.join(members.where(F.col("n") > BLOCK).select(F.col("node").alias("rep")), "rep", "left_semi").where("rep <> root")
+    roots = found.join(members.where(F.col("n") <= BLOCK).select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "root")
     if not split.isEmpty():
         roots = roots.unionAll(connected(split.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("root")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -234,9 +300,11 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, one of each class (that of the smallest id), with their columns as they were.
 
-    Rows are found again by id and text: of fully repeated rows one stays.
+    Rows are found again by id and text: of fully repeated rows one stays. Cases as in `similar`; other columns travel packed, so no
+    name can clash.
     """
-    stay = similar(docs, id_col=id_col, text_col=text_col).where("first_of_class").select(F.col(id_col).alias("__stay_id"), F.col("text_hash").alias("__stay_hash"))
-    joined = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.xxhash64(text_of(text_col)) == F.col("__stay_hash")))
-    once = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__stay_id", "__stay_hash").orderBy(F.lit(1))))
-    return once.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = similar(docs, id_col=id_col, text_col=text_col).where("first_of_class").select(F.col(id_col).alias("stay_id"), F.col("text_hash").alias("stay_hash"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("hash"))
+    joined = packed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")))
+    once = joined.withColumn("n", F.row_number().over(Window.partitionBy("stay_id", "stay_hash").orderBy(F.lit(1))))
+    return once.where("n = 1").select("row.*")
