@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is named (local tests)."""
+    """The folder that driver and executors share; an own one only where none is named and everything runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.sparkContext.setCheckpointDir(named)
     return named
