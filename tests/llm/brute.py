@@ -63,6 +63,29 @@ def near(docs, threshold=0.8):
     return sorted((i, find(i), links[i]) for i in sets)
 
 
+def near_by_index(docs, threshold=0.8):
+    """As `near`, with the overlaps counted shingle by shingle."""
+    sets = {i: shingles(t) for i, t in docs}
+    having, common, root, links = defaultdict(list), Counter(), {i: i for i in sets}, Counter()
+    for i in sorted(sets):
+        for s in sets[i]:
+            common.update((j, i) for j in having[s])
+            having[s].append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), n in common.items():
+        if n >= threshold * (len(sets[a]) + len(sets[b]) - n) - 1e-9:
+            links[a] += 1
+            links[b] += 1
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    return sorted((i, find(i), links[i]) for i in sets)
+
+
 def top_k(vectors, k=5, scale=256, every=50):
     sound = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []

@@ -86,6 +86,44 @@ def test_mixture(spark, documents, odd, none):
     assert read.columns == odd.columns and mixture.mixed_rows(none).count() == 0
 
 
+def test_mixture_does_not_depend_on_the_layout(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionAll(docs.where("doc_id % 7 = 0"))  # repeated rows
+    want = sorted(map(tuple, mixture.mix(docs).collect()), key=repr)
+    for other in (docs.repartition(5), docs.orderBy(F.col("doc_id").desc()).coalesce(1), docs.repartition(9, "source")):
+        assert sorted(map(tuple, mixture.mix(other).collect()), key=repr) == want
+    assert sorted(map(tuple, mixture.mix(odd.repartition(3)).collect()), key=repr) == sorted(map(tuple, mixture.mix(odd.coalesce(1)).collect()), key=repr)
+
+
+def test_mixture_positions(spark):
+    """Within a source, in the order of the positions, the integral of the schedule at a position is the share read up to there."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    names = sorted({r.source for r in docs.select("source").distinct().collect()}, key=lambda s: (s is None, (s or "").encode()))
+    by = {}
+    for r in mixture.mix(docs).collect():
+        by.setdefault(r.source, []).append(r)
+    for place, source in enumerate(names):
+        a, b = mixture.COURSES[place % 3]
+        want, at = round(by[source][0].target), 0
+        first = sorted((r for r in by[source] if r.position is not None), key=lambda r: r.position)
+        later = sorted((r for r in by[source] if r.later_position is not None), key=lambda r: r.later_position)
+        assert [r.doc_id for r in later] == [r.doc_id for r in first][: len(later)]  # the second pass goes the same way
+        for t, n in [(r.position, r["size"]) for r in first] + [(r.later_position, r["size"]) for r in later]:
+            read = min(n, want - at)
+            assert math.isclose(a * t + (b - a) * t * t / 2, (at + read / 2) / want * (a + b) / 2, rel_tol=1e-9)
+            at += read
+        assert at == want or at == 2 * by[source][0].source_size
+
+
+def test_rows_keep_columns_whatever_their_names(spark):
+    data = [(1, "a b c d e f", "s", 1, 2, 3, 4), (2, "a b c d e f", "s", 5, 6, 7, 8), (3, None, None, 9, 9, 9, 9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, at int, n int, first int, row int")
+    docs = docs.select("*", *[F.lit(n).alias(c) for n, c in enumerate(("__n", "__time", "__sha", "__stay_id", "stay_hash", "key", "copies", "time", "id", "hash", "position"))])
+    for out, n in ((exact_dedup.drop_exact_copies(docs), 2), (ngram_join.keep_one_of_each(docs), 2), (mixture.mixed_rows(docs), 3)):
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in docs.collect()}
+        assert out.select("doc_id").distinct().count() == n
+
+
 def test_schedule_is_inverted():
     """A position is where the integral of the schedule reaches the share read so far."""
     a, b = 1.5, 0.5
@@ -149,6 +187,37 @@ def test_near_copies_in_a_large_group(spark):
     assert ngram_join.keep_one_of_each(df).count() == 4
 
 
+def test_near_copies_in_a_chain_of_groups(spark):
+    """More texts than a block, each like its neighbours only: blocks meet where a trie node has texts of both."""
+    words = [f"w{i}" for i in range(1200)]
+    texts = [(i, " ".join(words[3 * i : 3 * i + 90])) for i in range(350)]
+    got = ngram_join.similar(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert rows(got, "doc_id", "class_id", "n_links") == sorted(brute.near(texts), key=repr)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    one, two = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(61))
+    data = [(None, one)] * 300 + [(None, f"text number {i} of those without an id") for i in range(300)] + [(7, one), (7, two), (7, two)]
+    got = ngram_join.similar(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == 603 and {r.class_id for r in got if r.n_links == 302} == {7} and sum(r.n_links == 302 for r in got) == 303
+    assert sum(r.n_links == 0 for r in got) == 300 and sum(r.first_of_class for r in got) == 301
+
+
+def test_near_copies_of_a_thousand_documents(spark):
+    """Against all pairs that share a shingle."""
+    sf = SF.replace("0.001", "0.01")
+    texts = [(r["doc_id"], r["text"]) for r in ds.dataset(f"{sf}/documents.parquet").to_table().to_pylist()]
+    assert rows(queries.op5_ngram_join(spark, sf), "doc_id", "class_id", "n_links") == sorted(brute.near_by_index(texts), key=repr)
+
+
+def test_depth_follows_the_links():
+    """Links that are nearly equal need no shorter prefix; links at the threshold do."""
+    alike, apart = np.full(100, 0.999), np.full(100, 0.8)
+    assert ngram_join.matched_depth(24, 0.8, 0.9999, apart) == ngram_join.matched_depth(24, 0.8, 0.9999) == 5
+    assert ngram_join.matched_depth(24, 0.8, 0.9999, alike) == 6
+    assert ngram_join.matched_depth(24, 0.8, 0.99, alike) == 8
+
+
 def test_near_copies_right_at_the_threshold():
     """Similarity 4k of 5k is linked, one shingle less is not."""
     for k in [3, 54, *range(1, 400, 7)]:
