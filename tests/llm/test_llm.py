@@ -189,8 +189,8 @@ def test_near_copies_in_a_large_group(spark):
 
 def test_near_copies_in_a_chain_of_groups(spark):
     """More texts than a block, each like its neighbours only: blocks meet where a trie node has texts of both."""
-    words = [f"w{i}" for i in range(1200)]
-    texts = [(i, " ".join(words[3 * i : 3 * i + 90])) for i in range(350)]
+    words = [f"w{i}" for i in range(2300)]
+    texts = [(i, " ".join(words[3 * i : 3 * i + 90])) for i in range(700)]
     got = ngram_join.similar(spark.createDataFrame(texts, "doc_id long, text string"))
     assert rows(got, "doc_id", "class_id", "n_links") == sorted(brute.near(texts), key=repr)
 
