@@ -7,10 +7,8 @@ the deepest nodes of the first tree give are verified on a bounded sample; weigh
 recall of any depth, and the prefix is shortened until the target recall is reached (see `fitted_depth`).
 
 The members of a node hang on its smallest one (never all pairs), and linked texts form candidate groups. The exact step computes the
-Jaccard similarity of all pairs of a small group. A large group is cut into blocks of texts that hang on the same smallest text, and
-two blocks meet only if some trie node has texts of both, so a chain of groups costs its neighbours and not all pairs. A block is one
-row that holds the sets of its texts, and two blocks are compared as a matrix product: rows are made for pairs of blocks of bounded
-size, never for pairs of texts. Classes are the connected sets of links.
+Jaccard similarity of all pairs within a group, in blocks of bounded size as matrix products, so a large group of near copies costs
+block pairs and no row for each pair. Classes are the connected sets of verified links.
 """
 
 from __future__ import annotations
@@ -28,8 +26,8 @@ from pyspark.sql import functions as F
 from ._common import WordHashes, checkpoint, mix64, text_of
 
 WORDS, THRESHOLD, TREES, DEEPEST, RECALL = 5, 0.8, 24, 8, 0.9999
-#: Texts and shingles in a block of the exact step, about; texts that are packed to one task when their groups are small.
-BLOCK, BLOCK_SHINGLES, PACK = 512, 1_000_000, 256
+#: Texts in a block of the exact step; texts that are packed to one task when their groups are small.
+BLOCK, PACK = 256, 128
 #: Pairs of texts that the depth is fitted on; the part of the estimate that stands for pairs right at the threshold.
 SAMPLE, AT_THRESHOLD = 1_000, 0.1
 
@@ -191,27 +189,6 @@ def fitted_depth(source: DataFrame, reps: DataFrame, words: int, threshold: floa
     return matched_depth(trees, threshold, recall, links[links >= threshold])
 
 
-def _slices(texts: Column, shingles: Column) -> Column:
-    return F.ceil(F.greatest(texts / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
-
-
-def _meetings(hung: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(unit, side, pair, a, i): the blocks that are compared in each unit; `hung` is (node, a, i, slices).
-
-    The slices of the texts that hang on the same text always meet, those of different ones if a trie node has texts of both.
-    """
-    slices = checkpoint(hung.select("a", "slices").distinct())
-    one, two = F.struct(F.col("a"), F.col("i")), F.struct(F.col("b").alias("a"), F.col("j").alias("i"))
-    inner = slices.select(F.col("a"), F.col("a").alias("b"), "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("i")).withColumn("j", F.explode(F.sequence("i", F.col("slices") - 1)))
-    there = nodes.join(hung.select(F.col("node").alias("rep"), "a"), "rep").select("tree", "prefix", "a").distinct()
-    meet = there.join(there.withColumnRenamed("a", "b"), ["tree", "prefix"]).where("a < b").select("a", "b").distinct()
-    outer = meet.join(slices, "a").join(slices.select(F.col("a").alias("b"), F.col("slices").alias("others")), "b")
-    outer = outer.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    both = inner.select("a", "i", "b", "j").unionAll(outer.select("a", "i", "b", "j")).withColumn("pair", (F.col("a") != F.col("b")) | (F.col("i") != F.col("j")))
-    both = both.select(F.xxhash64("a", "i", "b", "j").alias("unit"), "pair", F.posexplode(F.when(F.col("pair"), F.array(one, two)).otherwise(F.array(one))).alias("side", "block"))
-    return both.select("unit", "side", "pair", "block.a", "block.i")
-
-
 def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), n_links (rows, its copies too, at or over the threshold), first_of_class, text_hash.
 
@@ -231,28 +208,25 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
                 batch = whole.slice(at, 512)
                 sets = [shingles(x.as_py(), words) for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([forest.prefixes(x) if len(x) else [] for x in sets], pa.list_(pa.int64())), batch.column(2), pa.array([len(x) for x in sets], pa.int64())], ["id", "digest", "signatures", "hash", "size"]
+                    [batch.column(0), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([forest.prefixes(x) if len(x) else [] for x in sets], pa.list_(pa.int64())), batch.column(2)], ["id", "digest", "signatures", "hash"]
                 )
 
-    rows = source.mapInArrow(signed, f"id {kind}, digest binary, signatures array<long>, hash long, size long").withColumn("rid", F.monotonically_increasing_id())
+    rows = source.mapInArrow(signed, f"id {kind}, digest binary, signatures array<long>, hash long").withColumn("rid", F.monotonically_increasing_id())
     rows = checkpoint(rows.withColumn("set", F.coalesce("digest", F.encode(F.col("rid").cast("string"), "utf-8"))))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid", "hash")).alias("first")
-    reps = checkpoint(rows.groupBy("set").agg(first, F.count(F.lit(1)).alias("copies"), F.first("signatures").alias("signatures"), F.first("digest").alias("digest"), F.first("size").alias("size")).withColumn("rep", F.col("first.rid")))
+    reps = checkpoint(rows.groupBy("set").agg(first, F.count(F.lit(1)).alias("copies"), F.first("signatures").alias("signatures"), F.first("digest").alias("digest")).withColumn("rep", F.col("first.rid")))
     depth = fitted_depth(source, reps, words, threshold, trees, recall)
     nodes = reps.select("rep", F.posexplode("signatures").alias("tree", "signature")).select("rep", "tree", F.shiftrightunsigned("signature", 8 * (DEEPEST - depth)).alias("prefix"))
     hubs = nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # A text hangs on the smallest of its hubs only, and its hubs (at most one a tree) on one another: the same connected sets with
     # about one edge a text.
-    own = checkpoint(nodes.join(hubs, ["tree", "prefix"]).where("hub <> rep").groupBy("rep").agg(F.min("hub").alias("a"), F.collect_set("hub").alias("hubs")))
+    own = nodes.join(hubs, ["tree", "prefix"]).where("hub <> rep").groupBy("rep").agg(F.min("hub").alias("a"), F.collect_set("hub").alias("hubs"))
     edges = own.select("a", F.explode(F.array_append("hubs", F.col("rep"))).alias("b")).where("a <> b")
     groups = connected(edges)
-    members = groups.join(reps.select(F.col("rep").alias("node"), "copies", "digest", "size", "first.id", "first.hash"), "node")
-    sizes = checkpoint(members.groupBy("label").agg(_slices(F.count(F.lit(1)), F.sum("size")).alias("blocks")))
-    members = checkpoint(members.join(sizes, "label"))
-    large = members.where("blocks > 1").select("node", "size").join(own.select(F.col("rep").alias("node"), "a"), "node", "left").withColumn("a", F.coalesce("a", "node"))
-    slices = large.groupBy("a").agg(_slices(F.count(F.lit(1)), F.sum("size")).alias("slices"))
-    hung = checkpoint(large.join(slices, "a").select("node", "a", "slices", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("i")))
-    packs = max(1, -(-members.count() // PACK))
+    sizes = checkpoint(groups.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    packs = max(1, -(-groups.count() // PACK))
+    members = groups.join(sizes, "label").join(reps.select(F.col("rep").alias("node"), "copies", "digest", F.col("first.id").alias("want_id"), F.col("first.hash").alias("want_hash")), "node")
+    members = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # fully repeated rows of a text are handed on once a task
@@ -268,28 +242,30 @@ def similar(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, t
                 out = [pa.array([x.tobytes() for x in sets], pa.binary()), *batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(out, ["sh", *batch.schema.names[2:]]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = members.select("node", "copies", "digest", F.col("id").alias("want_id"), F.col("hash").alias("want_hash"), F.when(F.col("blocks") == 1, F.col("label")).alias("unit"))
-    texts = source.join(wanted, (F.col("hash") == F.col("want_hash")) & F.col("id").eqNullSafe(F.col("want_id"))).select("text", "digest", "node", "copies", "unit")
-    sets = checkpoint(texts.mapInArrow(as_sets, "sh binary, node long, copies long, unit long"))
-    text = F.struct("node", "copies", "sh")
-    held = sets.where("unit IS NOT NULL").select(F.pmod(F.xxhash64("unit"), F.lit(packs)).alias("pack"), "unit", F.lit(0).alias("side"), F.lit(False).alias("pair"), F.array(text).alias("texts"))
-    if not hung.isEmpty():
-        blocks = checkpoint(sets.where("unit IS NULL").join(hung, "node").groupBy("a", "i").agg(F.collect_list(text).alias("texts")))
-        meetings = checkpoint(_meetings(hung, nodes))
-        held = held.unionAll(meetings.join(blocks, ["a", "i"]).select(F.col("unit").alias("pack"), "unit", "side", "pair", "texts"))
-
-    def check(part: pd.DataFrame) -> pd.DataFrame:
+    texts = source.join(members, (F.col("hash") == F.col("want_hash")) & F.col("id").eqNullSafe(F.col("want_id"))).select("text", "digest", "node", "copies", "label", "blocks")
+    held = texts.mapInArrow(as_sets, "sh binary, node long, copies long, label long, blocks int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    large = F.col("blocks") > 1
+
+    def pair(smaller: Column, larger: Column) -> Column:
+        return F.struct(F.col("label").alias("g"), smaller.alias("p"), larger.alias("q"), F.when(smaller == larger, 0).when(own == larger, 1).otherwise(0).alias("side"))
+
+    pairs = F.when(large, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: pair(F.least(own, j), F.greatest(own, j))))
+    packed = F.array(F.struct(F.pmod(F.xxhash64("label"), F.lit(packs)).alias("g"), F.lit(-1).alias("p"), F.lit(-1).alias("q"), F.lit(0).alias("side")))
+    held = held.withColumn("to", F.explode(F.coalesce(pairs, packed))).select("sh", "node", "copies", "label", "to.*")
+
+    def check(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
-        for (_, pair), blocks in part.groupby(["unit", "pair"]):
-            one = {t["node"]: (t["copies"], np.frombuffer(t["sh"], np.uint64), side) for side, texts in zip(blocks["side"], blocks["texts"], strict=True) for t in texts}
-            copies, sets, side = zip(*one.values(), strict=True)
-            out += _verified(np.array(list(one)), np.array(copies), list(sets), np.array(side), threshold, bool(pair))
-        return pd.DataFrame(out, columns=["rep", "links", "root"], dtype="int64")
-
-    found = checkpoint(held.groupBy("pack").applyInPandas(check, "rep long, links long, root long"))
-    # A text of a small group has one root already; the roots of a large one are put together.
-    split = found.join(members.where("blocks > 1").select(F.col("node").alias("rep")), "rep", "left_semi").where("rep <> root")
-    roots = found.join(members.where("blocks = 1").select(F.col("node").alias("rep")), "rep", "left_semi").select("rep", "root")
+        for _, one in part.drop_duplicates(["label", "node"]).groupby("label"):
+            sets = [np.frombuffer(x, np.uint64) for x in one["sh"]]
+            out += _verified(one["node"].to_numpy(), one["copies"].to_numpy(), sets, one["side"].to_numpy(), threshold, key[1] < key[2])
+        frame = pd.DataFrame(out, columns=["rep", "links", "root"], dtype="int64")
+        frame["whole"] = key[1] < 0
+        return frame
+
+    found = checkpoint(held.groupBy("g", "p", "q").applyInPandas(check, "rep long, links long, root long, whole boolean"))
+    split = found.where("NOT whole AND rep <> root")
+    roots = found.where("whole").select("rep", "root")
     if not split.isEmpty():
         roots = roots.unionAll(connected(split.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), F.col("label").alias("root")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
