@@ -75,3 +75,15 @@ def byte_size(text: Column) -> Column:
 def band_count(slots: int, threshold: float) -> int:
     """The number of bands, among the divisors of the slots, whose curve rises nearest to the threshold."""
     return min((b for b in range(1, slots + 1) if slots % b == 0), key=lambda b: abs((1 / b) ** (b / slots) - threshold))
+
+
+def one_line(text: Column) -> Column:
+    """Line ends and tabs as spaces."""
+    return F.translate(text, "\n\t", "  ")
+
+
+def clean_id(text: Column, drop: list[str]) -> Column:
+    """An id without the given words, and with `--` as `-`."""
+    for word in drop:
+        text = F.replace(text, F.lit(word), F.lit(""))
+    return F.replace(text, F.lit("--"), F.lit("-"))

@@ -47,19 +47,21 @@ def lsh_link(left: DataFrame, right: DataFrame, slots: int = 32, bands: int = 8,
     return scored.withColumn("rank", top).where(F.col("rank") <= k)
 
 
-def length_jaccard_link(left: DataFrame, right: DataFrame, tolerance: float = 0.1, bucket: int = 100, most: int = 100, threshold: float = 0.5) -> DataFrame:
-    """Word-set Jaccard among texts whose length differs by the tolerance at most; the first `most` candidates by bucket and id.
+def length_jaccard_link(left: DataFrame, right: DataFrame, tolerance: float = 0.1, bucket: int = 100, most: int | None = None, threshold: float = 0.5) -> DataFrame:
+    """Word-set Jaccard among texts whose length differs by the tolerance at most.
 
-    Sides are (id, text). The best candidate at or over the threshold wins, ties to the earlier candidate.
+    Sides are (id, text). The best candidate at or over the threshold wins, ties to the smaller bucket and id. `most` looks at the
+    first so many candidates by bucket and id only; without it, all are compared.
     """
     a = left.select("id", F.char_length("text").alias("len"), F.array_distinct(T.words(F.col("text"))).alias("w"))
     low, high = F.floor(F.col("len") * (1 - tolerance)), F.floor(F.col("len") * (1 + tolerance))
     a = a.withColumn("low", low).withColumn("high", high).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))))
     b = right.select(F.col("id").alias("rid"), F.char_length("text").alias("rlen"), F.array_distinct(T.words(F.col("text"))).alias("rw")).withColumn("bucket", F.floor(F.col("rlen") / bucket))
     pairs = a.join(b, "bucket").where("rlen BETWEEN low AND high")
-    n = F.row_number().over(Window.partitionBy("id").orderBy("bucket", "rid"))
-    scored = pairs.withColumn("n", n).where(F.col("n") <= most).select("id", "rid", "n", T.jaccard(F.col("w"), F.col("rw")).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("id").agg(F.max(F.struct("similarity", (-F.col("n")).alias("n"), "rid")).alias("m"))
+    if most is not None:
+        pairs = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("bucket", "rid"))).where(F.col("n") <= most)
+    scored = pairs.select("id", "rid", "bucket", T.jaccard(F.col("w"), F.col("rw")).alias("similarity")).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("id").agg(F.min_by(F.struct("rid", "similarity"), F.struct(-F.col("similarity"), F.col("bucket"), F.col("rid"))).alias("m"))
     return best.select("id", F.col("m.rid").alias("match_id"), F.col("m.similarity").alias("similarity"))
 
 

@@ -54,3 +54,22 @@ def class_weights(counts: DataFrame, base: str, cap: float = 50.0) -> DataFrame:
     """total / (classes * count), over that of the base class, at most `cap`."""
     total = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), F.max(F.when(F.col("label") == base, F.col("n"))).alias("base"))
     return counts.crossJoin(F.broadcast(total)).select("label", "n", F.least(F.lit(cap), F.col("base") / F.col("n")).alias("weight"))  # one row
+
+
+def balanced_weights(counts: DataFrame) -> DataFrame:
+    """total / (classes * count) by class, from (label, n)."""
+    total = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
+    return counts.crossJoin(F.broadcast(total)).select("label", "n", (F.col("total") / (F.col("k") * F.col("n"))).alias("weight"))  # one row
+
+
+def multilabel_statistics(tokens: DataFrame, tags: str = "tags") -> DataFrame:
+    """One row: tokens, those with a label, those with several; shares in percent, 0 where there is nothing to share."""
+    n = F.size(tags)
+    out = tokens.agg(F.count(F.lit(1)).alias("tokens"), F.count_if(n > 0).alias("labelled"), F.count_if(n > 1).alias("multi"))
+    return out.withColumn("percent_labelled", ratio(F.col("labelled") * 100.0, F.col("tokens"))).withColumn("percent_multi", ratio(F.col("multi") * 100.0, F.col("labelled")))
+
+
+def label_balance(true: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(label, n_true, n_predicted) over the labels of either side."""
+    both = true.select("label", F.lit(1).alias("t")).unionByName(predicted.select("label", F.lit(0).alias("t")))
+    return both.groupBy("label").agg(F.sum("t").alias("n_true"), F.sum(1 - F.col("t")).alias("n_predicted"))

@@ -109,3 +109,42 @@ def greedy_chunks(lengths: Column, most: int) -> Column:
         return F.when(joins, F.array_append(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), last + x)).otherwise(F.array_append(out, x))
 
     return F.aggregate(lengths, init, step)
+
+
+def label_tokens_multi(token_rows: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
+    """All IOB labels of a token (`tags`, in the order of the spans): B- on the first token that a span overlaps, I- on the others."""
+    s = spans.select(*key, F.col("start").alias("s"), F.col("end").alias("e"), "label", "ord")
+    hit = token_rows.join(s, key).where("end > s AND start < e")
+    hit = hit.withColumn("first", F.min("pos").over(Window.partitionBy(*key, "ord")))
+    tag = F.concat(F.when(F.col("pos") == F.col("first"), "B-").otherwise("I-"), F.col("label"))
+    tagged = hit.groupBy(*key, "pos").agg(F.array_sort(F.collect_list(F.struct("ord", tag.alias("tag"))))["tag"].alias("tags"))
+    return token_rows.join(tagged, [*key, "pos"], "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def label_vocabulary(spans: DataFrame) -> DataFrame:
+    """(tag, number): O is 0, then B- and I- of all labels in order. One row a tag, so one task numbers them."""
+    tags = F.array(F.concat(F.lit("B-"), F.col("label")), F.concat(F.lit("I-"), F.col("label")))
+    rows = spans.select(F.explode(tags).alias("tag")).distinct()
+    rows = rows.unionAll(rows.sparkSession.range(1).select(F.lit("O").alias("tag")))
+    return rows.select("tag", (F.row_number().over(Window.orderBy(F.col("tag") != "O", "tag")) - 1).alias("number"))
+
+
+def keep_types(tag: Column, types: list[str]) -> Column:
+    """The tag if its type is one of these, whatever the case; else O. Tokens are never dropped."""
+    kind = F.lower(F.substring(tag, 3, 1000))
+    return F.when((tag == "O") | kind.isin([t.lower() for t in types]), tag).otherwise("O")
+
+
+def subword_tag(tag: Column, sub: Column) -> Column:
+    """The label of a word's piece: the word's own on the first piece, B- becomes I- on the others."""
+    return F.when((sub > 0) & tag.startswith("B-"), F.concat(F.lit("I-"), F.substring(tag, 3, 1000))).otherwise(tag)
+
+
+def shift(spans: DataFrame, at: str) -> DataFrame:
+    """Spans with offsets moved by a column."""
+    return spans.withColumns({c: F.col(c) + F.col(at) for c in ("start", "end")})
+
+
+def without_repeats(values: Column) -> Column:
+    """An array without the elements that equal the one before."""
+    return F.filter(values, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(values, i - 1)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions import text as T
-from ..operators import corpus, link, score, spans
+from ..operators import corpus, link, records, score, spans
 from .inputs import GOLD_SQL, PRED_SQL, TAGS_SQL, TOKENS_SQL, gold, pred, table, token_rows, turn_tags
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,15 +64,15 @@ def _whole(spark, sf_dir):
     return side(table(spark, sf_dir, "documents"), "doc_id"), side(table(spark, sf_dir, "benchmark"), "item_id")
 
 
-def _cut_sql(key: str, name: str) -> str:
-    return f"SELECT {key} AS id, array_to_string(list_slice(string_split({NORM.format('text')}, ' '), 1, 40), ' ') AS text FROM {name}"
+def _whole_sql(key: str, name: str) -> str:
+    return f"SELECT {key} AS id, {NORM.format('text')} AS text FROM {name}"
 
 
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
 @query(f"""
-WITH a AS ({_cut_sql("doc_id", "documents")}), sh AS (
+WITH a AS ({_whole_sql("doc_id", "documents")}), sh AS (
   SELECT id, list_distinct(list_transform(range(1, greatest(len(p) - 2, 1) + 1), lambda i: array_to_string(list_slice(p, i, i + 2), ' '))) AS sh FROM (SELECT id, string_split(text, ' ') AS p FROM a)),
 x AS (SELECT id, unnest(list_transform(sh, lambda s: CAST(concat('0x', substring(md5(s), 1, 7)) AS BIGINT))) AS h FROM sh)
 SELECT id, CAST(i AS INTEGER) AS slot, min(((7 * i + 13) * h + (11 * i + 17)) % 1000000007) AS value FROM x, (SELECT unnest(range(0, 8)) AS i) GROUP BY id, i""")
@@ -88,12 +88,12 @@ def lsh_link(spark, sf_dir):
 
 
 @query(f"""
-WITH a AS ({_cut_sql("doc_id", "documents")}), b AS ({_cut_sql("item_id", "benchmark")}),
+WITH a AS ({_whole_sql("doc_id", "documents")}), b AS ({_whole_sql("item_id", "benchmark")}),
 l AS (SELECT id, CAST(floor(length(text) * 0.9) AS BIGINT) AS low, CAST(floor(length(text) * 1.1) AS BIGINT) AS high, list_distinct({WORDS}) AS w FROM a),
 r AS (SELECT id AS rid, length(text) AS rlen, CAST(floor(length(text) / 100) AS BIGINT) AS bucket, list_distinct({WORDS}) AS rw FROM b),
-p AS (SELECT id, rid, row_number() OVER (PARTITION BY id ORDER BY bucket, rid) AS n, w, rw FROM l JOIN r ON rlen BETWEEN low AND high),
-s AS (SELECT id, rid, n, CASE WHEN len(w) + len(rw) = 0 THEN 0.0 ELSE CAST(len(list_intersect(w, rw)) AS DOUBLE) / (len(w) + len(rw) - len(list_intersect(w, rw))) END AS similarity FROM p WHERE n <= 100)
-SELECT id, rid AS match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, n) AS k FROM s WHERE similarity >= 0.3) WHERE k = 1""")
+p AS (SELECT id, rid, bucket, w, rw FROM l JOIN r ON rlen BETWEEN low AND high),
+s AS (SELECT id, rid, bucket, CASE WHEN len(w) + len(rw) = 0 THEN 0.0 ELSE CAST(len(list_intersect(w, rw)) AS DOUBLE) / (len(w) + len(rw) - len(list_intersect(w, rw))) END AS similarity FROM p)
+SELECT id, rid AS match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, bucket, rid) AS k FROM s WHERE similarity >= 0.3) WHERE k = 1""")
 def length_jaccard_link(spark, sf_dir):
     docs, items = _whole(spark, sf_dir)
     return link.length_jaccard_link(docs, items, threshold=0.3)
@@ -108,11 +108,14 @@ def cascade_link(spark, sf_dir):
     return link.cascade([("exact", exact), ("lsh", lsh), ("length_jaccard", near)], docs)
 
 
+#: DuckDB's distance counts bytes: each letter beyond ASCII that the tables hold becomes one control character first.
+BEYOND = "éèÍÊñÄÉßêÈÑóÓÖöüäÜÇçí"
+ONE_BYTE = "translate({}, '" + BEYOND + "', concat(" + ", ".join(f"chr({i})" for i in (*range(1, 9), *range(14, 27))) + "))"
 FIRST = "trim(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda x: x <> '')[{}])"
 
 
 @query(f"""
-WITH a AS (SELECT doc_id AS id, coalesce(substring({FIRST.format(1)}, 1, 12), '') AS block, coalesce(substring({FIRST.format(2)}, 1, 60), '') AS s FROM documents),
+WITH a AS (SELECT doc_id AS id, coalesce(substring({FIRST.format(1)}, 1, 12), '') AS block, {ONE_BYTE.format(f"coalesce({FIRST.format(2)}, '')")} AS s FROM documents),
 p AS (SELECT x.id, y.id AS rid, levenshtein(x.s, y.s) AS d FROM a x JOIN a y ON x.block = y.block AND y.id < x.id WHERE x.s <> '' AND y.s <> ''),
 b AS (SELECT id, rid, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rid) AS k FROM p WHERE d <= 10) WHERE k = 1)
 SELECT a.id, b.rid AS match_id, CAST(b.d AS INTEGER) AS distance, b.rid IS NOT NULL AS matched FROM a LEFT JOIN b ON a.id = b.id""")
@@ -481,7 +484,7 @@ def clean_spans(spark, sf_dir):
     return rows.select("conv_id", "turn", F.col("c.text").alias("span"), F.col("c.start").alias("start"), F.col("c.end").alias("end"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query()
 def mojibake_fix(spark, sf_dir):
     """All documents, with broken encoding put right."""
     return table(spark, sf_dir, "documents").select("doc_id", kernels.repair_encoding("text").alias("text"))
@@ -513,6 +516,144 @@ def event_runs(spark, sf_dir):
     return rows.groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.count(F.lit(1)).alias("n"))
 
 
+# Fields and records
+
+FIELDS = "f AS (SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)', 1)), '') AS title, nullif(trim(regexp_extract(url, '://([^/?#]*)', 1)), '') AS host, url FROM pages)"
+
+
+def _fields(spark, sf_dir):
+    """Pages as records with a title, a host and a url, any of which may be blank."""
+    title, host = F.regexp_extract("html", "<title>([^<]*)", 1), F.regexp_extract("url", "://([^/?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), host.alias("host"), "url")
+
+
+@query(f"WITH {FIELDS} SELECT page_id, host FROM f WHERE contains(lower(host), 'example.net') AND (contains(title, 'es') OR contains(url, 'es'))")
+def field_contains(spark, sf_dir):
+    return records.where_contains(records.where_contains(_fields(spark, sf_dir), ["host"], "Example.NET", fold=True), ["title", "url"], "es").select("page_id", "host")
+
+
+@query(f"WITH {FIELDS} SELECT page_id, coalesce(title, host, url) AS name FROM f")
+def first_filled_field(spark, sf_dir):
+    return _fields(spark, sf_dir).select("page_id", records.first_filled("title", "host", "url").alias("name"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract(url, '[0-9]+'), ''), nullif(regexp_extract(html, '[0-9]+'), '')) AS number FROM pages")
+def first_matching_field(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", records.first_match("[0-9]+", "url", "html").alias("number"))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, l_discount * 10 AS similarity FROM lineitem WHERE l_discount * 10 < 0.3")
+def low_quality_matches(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_discount") * 10).alias("similarity"))
+    return records.low_quality(rows, 0.3)
+
+
+@query("SELECT coalesce(CAST(quality AS VARCHAR), 'none') AS licence, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality")
+def value_shares(spark, sf_dir):
+    """Shares of values, null among them."""
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return records.shares(rows, "quality").select(F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("licence"), "n", F.round("share", 9).alias("share"))
+
+
+@query("WITH m AS (SELECT *, count(*) OVER () AS all_rows FROM lineitem) SELECT l_returnflag AS stage, count(*) AS n, round(count(*) / max(all_rows), 9) AS rate FROM m GROUP BY l_returnflag")
+def match_rates(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("stage"))
+    return records.shares(rows, "stage").select("stage", "n", F.round("share", 9).alias("rate"))
+
+
+@query("WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1) SELECT label, n, round(sum(n) OVER () / (count(*) OVER () * n), 9) AS weight FROM c")
+def balanced_weights(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return score.balanced_weights(counts).withColumn("weight", F.round("weight", 9))
+
+
+@query(f"""WITH k AS ({TOKENS_SQL}), g AS ({TAGS_SQL} UNION ALL SELECT conv_id, turn, 'EVEN', CAST(conv_id % 15 AS INTEGER), CAST(conv_id % 15 + 20 AS INTEGER) FROM conversations WHERE conv_id % 2 = 0),
+n AS (SELECT k.conv_id, k.turn, k.pos, count(g.label) AS n FROM k LEFT JOIN g ON k.conv_id = g.conv_id AND k.turn = g.turn AND k."end" > g.s AND k.start < g.e GROUP BY k.conv_id, k.turn, k.pos)
+SELECT count(*) AS tokens, count(*) FILTER (WHERE n > 0) AS labelled, count(*) FILTER (WHERE n > 1) AS multi, round(100.0 * count(*) FILTER (WHERE n > 0) / count(*), 6) AS percent_labelled, round(100.0 * count(*) FILTER (WHERE n > 1) / count(*) FILTER (WHERE n > 0), 6) AS percent_multi FROM n""")
+def multilabel_statistics(spark, sf_dir):
+    out = score.multilabel_statistics(_multilabelled(spark, sf_dir))
+    return out.select("tokens", "labelled", "multi", *[F.round(c, 6).alias(c) for c in ("percent_labelled", "percent_multi")])
+
+
+def _multilabelled(spark, sf_dir):
+    """Tokens with all labels of two tags a turn, that of even conversations being the second."""
+    one = turn_tags(spark, sf_dir)
+    start = (F.col("conv_id") % 15).cast("int")
+    two = table(spark, sf_dir, "conversations").where("conv_id % 2 = 0").select("conv_id", "turn", F.lit("EVEN").alias("label"), start.alias("start"), (start + 20).alias("end"), F.lit(2).alias("ord"))
+    return spans.label_tokens_multi(token_rows(spark, sf_dir), one.unionByName(two), ["conv_id", "turn"])
+
+
+@query(f"""WITH k AS ({TOKENS_SQL}), g AS (SELECT *, 1 AS ord FROM ({TAGS_SQL}) UNION ALL SELECT conv_id, turn, 'EVEN', CAST(conv_id % 15 AS INTEGER), CAST(conv_id % 15 + 20 AS INTEGER), 2 FROM conversations WHERE conv_id % 2 = 0),
+h AS (SELECT k.conv_id, k.turn, k.pos, g.ord, g.label, min(k.pos) OVER (PARTITION BY k.conv_id, k.turn, g.ord) AS first FROM k JOIN g ON k.conv_id = g.conv_id AND k.turn = g.turn AND k."end" > g.s AND k.start < g.e),
+a AS (SELECT conv_id, turn, pos, string_agg(concat(CASE WHEN pos = first THEN 'B-' ELSE 'I-' END, label), '|' ORDER BY ord) AS tags FROM h GROUP BY conv_id, turn, pos)
+SELECT k.conv_id, k.turn, CAST(k.pos AS INTEGER) AS pos, coalesce(a.tags, '') AS tags FROM k LEFT JOIN a ON k.conv_id = a.conv_id AND k.turn = a.turn AND k.pos = a.pos""")
+def multilabel_tokens(spark, sf_dir):
+    return _multilabelled(spark, sf_dir).select("conv_id", "turn", "pos", F.array_join("tags", "|").alias("tags"))
+
+
+@query("SELECT tag, CAST(row_number() OVER (ORDER BY tag <> 'O', tag) - 1 AS INTEGER) AS number FROM (SELECT 'O' AS tag UNION SELECT unnest([concat('B-', upper(role)), concat('I-', upper(role))]) FROM conversations)")
+def label_vocabulary(spark, sf_dir):
+    return spans.label_vocabulary(turn_tags(spark, sf_dir))
+
+
+@query("SELECT DISTINCT upper(role) AS label FROM conversations")
+def entity_types(spark, sf_dir):
+    return turn_tags(spark, sf_dir).select("label").distinct()
+
+
+@query(f"""WITH {LABELLED} SELECT conv_id, turn, pos, CASE WHEN tag = 'O' OR lower(substring(tag, 3)) IN ('user', 'system') THEN tag ELSE 'O' END AS tag FROM t""")
+def tag_filter(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("conv_id", "turn", "pos", spans.keep_types(F.col("tag"), ["User", "SYSTEM"]).alias("tag"))
+
+
+@query(f"""WITH {LABELLED}, s AS (SELECT conv_id, turn, pos, unnest(range(0, 1 + length(word) // 5)) AS sub, tag FROM t)
+SELECT conv_id, turn, pos, CAST(sub AS INTEGER) AS sub, CASE WHEN sub > 0 AND starts_with(tag, 'B-') THEN concat('I-', substring(tag, 3)) ELSE tag END AS tag FROM s""")
+def subword_labels(spark, sf_dir):
+    """Labels of words handed on to pieces of five characters."""
+    pieces = F.sequence(F.lit(0), F.floor(F.char_length("word") / 5).cast("int"))
+    rows = _labelled(spark, sf_dir).withColumn("sub", F.explode(pieces))
+    return rows.select("conv_id", "turn", "pos", "sub", spans.subword_tag(F.col("tag"), F.col("sub")).alias("tag"))
+
+
+@query(f"""WITH {LABELLED} SELECT conv_id, turn, pos, start + 1000 * turn AS start, "end" + 1000 * turn AS "end" FROM t WHERE tag <> 'O'""")
+def shifted_spans(spark, sf_dir):
+    """Offsets in chunks as offsets in documents."""
+    rows = _labelled(spark, sf_dir).where("tag <> 'O'").withColumn("at", F.col("turn") * 1000)
+    return spans.shift(rows, "at").select("conv_id", "turn", "pos", "start", "end")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b, ts, event_id FROM events)
+SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS types FROM e WHERE b IS NULL OR b <> event_type GROUP BY user_id""")
+def consecutive_distinct(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))["event_type"].alias("types"))
+    return rows.select("user_id", F.array_join(spans.without_repeats(F.col("types")), ",").alias("types"))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT {KEYS} FROM ({GOLD_SQL})), p AS (SELECT DISTINCT {KEYS} FROM ({PRED_SQL})), t AS (SELECT label FROM g UNION SELECT label FROM p)
+SELECT t.label, (SELECT count(*) FROM g WHERE g.label = t.label) AS n_true, (SELECT count(*) FROM p WHERE p.label = t.label) AS n_predicted FROM t""")
+def label_balance(spark, sf_dir):
+    """True and predicted spans by label."""
+    return score.label_balance(spans.dedup_spans(gold(spark, sf_dir)), spans.dedup_spans(pred(spark, sf_dir)))
+
+
+@query("SELECT doc_id, replace(replace(text, chr(10), ' '), chr(9), ' ') AS line FROM documents")
+def one_line_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.one_line(F.col("text")).alias("line"))
+
+
+@query("SELECT p_partkey AS id, replace(replace(concat(lower(p_brand), '--', p_partkey), 'brand', ''), '--', '-') AS clean FROM part")
+def clean_ids(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.clean_id(F.concat(F.lower("p_brand"), F.lit("--"), F.col("p_partkey").cast("string")), ["brand"]).alias("clean"))
+
+
+@query("""WITH s AS (SELECT DISTINCT source FROM documents), b AS (SELECT source, ord(substring(md5(source), 1, 1)) % 2 AS batch FROM s)
+SELECT source, CASE batch WHEN 0 THEN 'train' ELSE r END AS role FROM b, (SELECT unnest(['test', 'validation']) AS r) WHERE batch = 1 OR r = 'test'""")
+def split_roles(spark, sf_dir):
+    """Names of the first batch train; those of the second both test and validate."""
+    rows = table(spark, sf_dir, "documents").select("source", (F.ascii(F.substring(F.md5("source"), 1, 1)) % 2).alias("batch"))
+    return records.split_roles(rows, "source", F.col("batch") == 0).select("source", "role")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: documents linked to one another by leading sentences."""
     return self_link(spark, "/root/testdata/sf0.001")
