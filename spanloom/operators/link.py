@@ -27,8 +27,9 @@ def exact_link(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str, slots: int, text_col: str = "text", k: int = 3) -> DataFrame:
-    sh = T.shingles(F.split(T.normalise(F.col(text_col)), " "), k)
-    return docs.select(F.col(id_col).alias("id"), T.minhash(sh, slots).alias("sig"))
+    """(id, sig); texts that normalise to nothing are left out, as they would all be alike."""
+    rows = docs.select(F.col(id_col).alias("id"), T.normalise(F.col(text_col)).alias("norm")).where("norm <> ''")
+    return rows.select("id", T.minhash(T.shingles(F.split("norm", " "), k), slots).alias("sig"))
 
 
 def lsh_link(left: DataFrame, right: DataFrame, slots: int = 32, bands: int = 8, threshold: float = 0.7, k: int = 5) -> DataFrame:

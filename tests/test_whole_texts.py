@@ -51,3 +51,8 @@ def test_distance_of_whole_sentences(spark, tmp_path):
     docs = [(0, f"A first sentence. {same}{'a' * 20}."), (1, f"A first sentence. {same}{'b' * 20}."), (2, f"A first sentence. {same}{'b' * 19}c.")]
     got = registry.levenshtein_link(spark, put(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()
     assert sorted((r.id, r.match_id, r.distance) for r in got if r.matched) == [(2, 1, 1)] and len(got) == 3
+
+
+def test_empty_texts_are_not_alike(spark, tmp_path):
+    sf_dir = put(spark, tmp_path, documents=([(1, ""), (2, "..."), (3, None)], "doc_id long, text string"), benchmark=([(7, ""), (8, " !")], "item_id long, text string"))
+    assert registry.lsh_link(spark, sf_dir).count() == 0
