@@ -9,14 +9,23 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-#: Words that may be left hanging at the end of a span, by language: fixed values.
-CUTOFF = {"en": ("and", "or", "with", "of", "the"), "es": ("y", "o", "con", "de", "la", "el"), "nl": ("en", "of", "met", "van", "de", "het")}
+#: Words that may be left hanging at the end of a span, by language (Dutch where none is known): fixed values.
+CUTOFF = {
+    "nl": ("van", "met", "in", "op", "door", "als"),
+    "en": ("of", "with", "in", "on", "by", "as"),
+    "sv": ("av", "med", "i", "på", "genom", "som"),
+    "it": ("di", "con", "in", "su", "da", "come"),
+    "ro": ("de", "cu", "în", "in", "pe", "prin", "ca"),
+    "cz": ("z", "s", "v", "na", "přes", "pres", "jako"),
+    "es": ("de", "con", "en", "sobre", "por", "como"),
+}
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 STOPS = ".,;:!?"
 
 
 def clean_span(text: str, start: int, end: int, tag: str, lang: str | None = None) -> tuple[str, int, int] | None:
     """The cleaned span, or nothing if what is left is no entity."""
+    hanging = CUTOFF.get((lang or "nl").lower(), CUTOFF["nl"])
     span = text[start:end]
     if span.count("(") > span.count(")") and (close := text.find(")", end)) >= 0:
         end = close + 1
@@ -38,7 +47,7 @@ def clean_span(text: str, start: int, end: int, tag: str, lang: str | None = Non
             start += 1
         elif PAIRS.get(kept[0]) == last and len(kept) > 1:
             start, end = start + 1, end - 1
-        elif lang in CUTOFF and (m := re.search(rf"(?:(?:^|\s)(?:{'|'.join(CUTOFF[lang])}))+$", kept, re.I)):
+        elif m := re.search(rf"(?:(?:^|\s)(?:{'|'.join(hanging)}))+$", kept, re.I):
             end = start + m.start()
         else:
             break
@@ -48,7 +57,7 @@ def clean_span(text: str, start: int, end: int, tag: str, lang: str | None = Non
         return None
     except ValueError:
         pass
-    if not any(c.isalnum() for c in span):
+    if re.fullmatch(r"\W+", span):
         return None
     coded = re.fullmatch(r"[A-Z0-9]+", span) and any(c.isdigit() for c in span) and any(c.isalpha() for c in span)
     if coded and tag.upper() in ("PROCEDURE", "SYMPTOM", "DISEASE"):

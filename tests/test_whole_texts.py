@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 
+from spanloom.functions.kernels import clean_span
 from spanloom.plans import registry
 
 OPENING = " ".join(f"w{i}" for i in range(40))
@@ -56,3 +57,11 @@ def test_distance_of_whole_sentences(spark, tmp_path):
 def test_empty_texts_are_not_alike(spark, tmp_path):
     sf_dir = put(spark, tmp_path, documents=([(1, ""), (2, "..."), (3, None)], "doc_id long, text string"), benchmark=([(7, ""), (8, " !")], "item_id long, text string"))
     assert registry.lsh_link(spark, sf_dir).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "lang", "want"),
+    [("koorts van", None, ("koorts", 0, 6)), ("koorts met van", "xx", ("koorts", 0, 6)), ("fever and", "en", ("fever and", 0, 9)), ("fever with", "EN", ("fever", 0, 5)), ("van", "nl", None), ("__", "en", ("__", 0, 2)), ("--", "en", None)],
+)
+def test_words_left_hanging(text, lang, want):
+    assert clean_span(text, 0, len(text), "SYMPTOM", lang) == want
