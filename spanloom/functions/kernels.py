@@ -5,10 +5,13 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
+from .text import PRIME
+
 #: Words that may be left hanging at the end of a span, by language (Dutch where none is known): fixed values.
 CUTOFF = {
     "nl": ("van", "met", "in", "op", "door", "als"),
@@ -89,6 +92,22 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def minhash_slots(slots: int):
+    """For mapInPandas: (key, hashes) to (key, sig) with signatures as `text.minhash` makes them; in blocks of hashes, so that a long text takes no more memory."""
+    i = np.arange(slots, dtype=np.int64)[:, None]
+
+    def one(hashes) -> np.ndarray:
+        h = np.asarray(hashes, dtype=np.int64)
+        blocks = [(((7 * i + 13) * h[at : at + 4096] + (11 * i + 17)) % PRIME).min(axis=1) for at in range(0, len(h), 4096)]
+        return np.min(blocks, axis=0) if blocks else np.zeros(slots, dtype=np.int64)
+
+    def signed(frames):
+        for f in frames:
+            yield pd.DataFrame({"key": f["key"], "sig": f["hashes"].map(one)})
+
+    return signed
+
+
 def viterbi(scores: list[list[float]], moves: list[list[float]], starts: list[float]) -> list[int]:
     """The best path through scores (step by tag) with transition and start scores."""
     if not scores:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions import text as T
 
 
@@ -26,26 +30,46 @@ def exact_link(left: DataFrame, right: DataFrame) -> DataFrame:
     return hit.select("id", F.col("m.rid").alias("match_id"), F.col("m.pos").alias("sentence"), F.lit(1.0).alias("similarity"))
 
 
-def signatures(docs: DataFrame, id_col: str, slots: int, text_col: str = "text", k: int = 3) -> DataFrame:
-    """(id, sig); texts that normalise to nothing are left out, as they would all be alike."""
-    rows = docs.select(F.col(id_col).alias("id"), T.normalise(F.col(text_col)).alias("norm")).where("norm <> ''")
-    return rows.select("id", T.minhash(T.shingles(F.split("norm", " "), k), slots).alias("sig"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Texts with a key that equal ones share; null and empty texts are left out, as they would all be alike."""
+    return docs.where("text <> ''").withColumn("key", F.md5("text"))
+
+
+def signatures(docs: DataFrame, slots: int = 128, k: int = 3) -> DataFrame:
+    """(key, sig) of the different normalised texts of (id, text)."""
+    hashes = F.transform(T.shingles(F.split("text", " "), k), T.small_hash)
+    rows = _keyed(docs).select("key", hashes.alias("hashes")).mapInPandas(kernels.minhash_slots(slots), "key string, sig array<long>")
+    return rows.groupBy("key").agg(F.first("sig").alias("sig"))
 
 
-def lsh_link(left: DataFrame, right: DataFrame, slots: int = 32, bands: int = 8, threshold: float = 0.7, k: int = 5) -> DataFrame:
-    """Candidates share a band; the share of equal slots is the similarity; the k best over the threshold, ties to smaller ids."""
+def lsh_link(left: DataFrame, right: DataFrame, slots: int = 128, threshold: float = 0.7, k: int = 5, itself: bool = True) -> DataFrame:
+    """Candidates share a band; the share of equal slots is the similarity; the k best at or over the threshold, ties to smaller ids.
+
+    Sides are normalised texts (id, text). Equal texts meet once: of right rows with the same text only the smallest ids can be among the k best, and
+    left rows with the same text share their result. `itself` is false where both sides are one table: no row is its own match then.
+    """
+    bands, most = T.band_count(slots, threshold), k if itself else k + 1
     rows = slots // bands
 
-    def banded(df: DataFrame) -> DataFrame:
-        parts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * rows + 1, rows)))
-        return df.select("id", "sig", F.posexplode(parts).alias("band", "bucket"))
+    def texts(side: DataFrame, name: str) -> DataFrame:
+        return signatures(side, slots).withColumnsRenamed({"key": name + "key", "sig": name + "sig"})
 
-    a, b = banded(left).alias("a"), banded(right).select(F.col("id").alias("rid"), F.col("sig").alias("rsig"), "band", "bucket").alias("b")
-    pairs = a.join(b, ["band", "bucket"]).groupBy("id", "rid").agg(F.first("sig").alias("sig"), F.first("rsig").alias("rsig"))
-    same = F.aggregate(F.zip_with("sig", "rsig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    scored = pairs.select("id", F.col("rid").alias("match_id"), (same / slots).alias("similarity")).where(F.col("similarity") >= threshold)
-    top = F.row_number().over(Window.partitionBy("id").orderBy(F.col("similarity").desc(), "match_id"))
-    return scored.withColumn("rank", top).where(F.col("rank") <= k)
+    def banded(side: DataFrame, name: str) -> DataFrame:
+        buckets = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice(name + "sig", b * rows + 1, rows)))
+        return side.select(name + "key", F.posexplode(buckets).alias("band", "bucket"))
+
+    def best(by: str, *order) -> Column:
+        return F.row_number().over(Window.partitionBy(by).orderBy(*order))
+
+    a, b = texts(left, "l"), texts(right, "r")
+    pairs = banded(a, "l").join(banded(b, "r"), ["band", "bucket"]).select("lkey", "rkey").distinct()
+    same = F.size(F.filter(F.zip_with("lsig", "rsig", lambda x, y: x == y), lambda x: x))
+    scored = pairs.join(a, "lkey").join(b, "rkey").select("lkey", "rkey", (same / slots).alias("similarity")).where(F.col("similarity") >= threshold)
+    members = _keyed(right).select(F.col("key").alias("rkey"), F.col("id").alias("match_id")).withColumn("n", best("rkey", "match_id")).where(F.col("n") <= most).drop("n")
+    near = scored.join(members, "rkey").withColumn("n", best("lkey", F.col("similarity").desc(), "match_id")).where(F.col("n") <= most).drop("n", "rkey")
+    found = _keyed(left).select("id", F.col("key").alias("lkey")).join(near, "lkey").drop("lkey")
+    found = found if itself else found.where("id <> match_id")
+    return found.withColumn("rank", best("id", F.col("similarity").desc(), "match_id")).where(F.col("rank") <= k)
 
 
 def length_jaccard_link(left: DataFrame, right: DataFrame, tolerance: float = 0.1, bucket: int = 100, most: int | None = None, threshold: float = 0.5) -> DataFrame:
@@ -74,14 +98,18 @@ def levenshtein_link(left: DataFrame, right: DataFrame, most: int = 10) -> DataF
     return left.select("id").join(best, "id", "left").select("id", F.col("m.rid").alias("match_id"), F.col("m.d").alias("distance"), F.col("m").isNotNull().alias("matched"))
 
 
-def cascade(stages: list[tuple[str, DataFrame]], left: DataFrame) -> DataFrame:
-    """One row per left id: the match of the first stage that has one; unmatched ids stay with nulls."""
-    tagged = [df.select("id", "match_id", "similarity", F.lit(name).alias("stage"), F.lit(n).alias("n")) for n, (name, df) in enumerate(stages)]
-    allm = tagged[0]
-    for df in tagged[1:]:
-        allm = allm.unionByName(df)
-    best = allm.groupBy("id").agg(F.min(F.struct("n", "stage", "match_id", "similarity")).alias("m"))
-    return left.select("id").join(best, "id", "left").select("id", F.col("m.match_id").alias("match_id"), F.col("m.similarity").alias("similarity"), F.coalesce("m.stage", F.lit("none")).alias("stage"))
+def cascade(stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], left: DataFrame) -> DataFrame:
+    """One row per left id: the match of the first stage that has one; unmatched ids stay with nulls.
+
+    A stage takes the left rows that no earlier stage matched and gives (id, match_id, similarity). Its matches are kept (memory, then
+    disk; recomputed if an executor goes), since the result and the next stage's input both read them.
+    """
+    rest, parts = left, []
+    for name, stage in stages:
+        found = stage(rest).select("id", "match_id", "similarity", F.lit(name).alias("stage")).persist()
+        parts.append(found)
+        rest = rest.join(found, "id", "left_anti")
+    return reduce(DataFrame.unionByName, [*parts, rest.select("id").withColumns({"match_id": F.lit(None).cast("long"), "similarity": F.lit(None).cast("double"), "stage": F.lit("none")})])
 
 
 def idf(docs: DataFrame, id_col: str, text_col: str = "text") -> tuple[DataFrame, DataFrame]:

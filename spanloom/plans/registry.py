@@ -47,12 +47,14 @@ def self_link(spark, sf_dir):
     return h.join(one, "hash").select(F.col("id").alias("doc_id"), "pos", "head", "n_docs")
 
 
-@query(f"""
-WITH src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id AS id, text FROM benchmark), {SENTENCES},
+EXACT = f"""
+src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id AS id, text FROM benchmark), {SENTENCES},
 r AS (SELECT hash, -1 - id AS rid, pos AS rpos FROM h WHERE id < 0),
 b AS (SELECT hash, rid, rpos FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY rid, rpos) AS k FROM r) WHERE k = 1),
-m AS (SELECT h.id, h.pos, b.rid, row_number() OVER (PARTITION BY h.id ORDER BY h.pos, b.rid, b.rpos) AS k FROM h JOIN b USING (hash) WHERE h.id >= 0)
-SELECT id, rid AS match_id, CAST(pos AS INTEGER) AS sentence, CAST(1.0 AS DOUBLE) AS similarity FROM m WHERE k = 1""")
+m AS (SELECT h.id, h.pos, b.rid, row_number() OVER (PARTITION BY h.id ORDER BY h.pos, b.rid, b.rpos) AS k FROM h JOIN b USING (hash) WHERE h.id >= 0)"""
+
+
+@query(f"WITH {EXACT} SELECT id, rid AS match_id, CAST(pos AS INTEGER) AS sentence, CAST(1.0 AS DOUBLE) AS similarity FROM m WHERE k = 1")
 def exact_hash_link(spark, sf_dir):
     left = link.sentence_hashes(table(spark, sf_dir, "documents"), "doc_id")
     return link.exact_link(left, link.sentence_hashes(table(spark, sf_dir, "benchmark"), "item_id"))
@@ -81,31 +83,71 @@ def minhash_signature(spark, sf_dir):
     return docs.select("id", F.posexplode(T.minhash(T.shingles(F.split("text", " ")), 8)).alias("slot", "value"))
 
 
-@query()
+def _lsh_sql(left: str, right: str, itself: bool = True) -> str:
+    """The CTE `lsh` (id, match_id, similarity, rank) for 128 slots in 16 bands at 0.7."""
+    return f"""
+lw AS (SELECT 0 AS side, id, text FROM ({left}) UNION ALL SELECT 1, id, text FROM ({right})),
+lsh_sets AS (SELECT side, id, list_distinct(list_transform(range(1, greatest(len(p) - 2, 1) + 1), lambda i: array_to_string(list_slice(p, i, i + 2), ' '))) AS sh FROM (SELECT side, id, string_split(text, ' ') AS p FROM lw WHERE text <> '')),
+lx AS (SELECT side, id, unnest(list_transform(sh, lambda s: CAST(concat('0x', substring(md5(s), 1, 7)) AS BIGINT))) AS h FROM lsh_sets),
+lg AS (SELECT side, id, i AS slot, min(((7 * i + 13) * h + (11 * i + 17)) % 1000000007) AS v FROM lx, (SELECT unnest(range(0, 128)) AS i) GROUP BY side, id, i),
+lbands AS (SELECT side, id, slot // 8 AS band, string_agg(v, ',' ORDER BY slot) AS bucket FROM lg GROUP BY side, id, slot // 8),
+lc AS (SELECT DISTINCT a.id, b.id AS rid FROM lbands a JOIN lbands b USING (band, bucket) WHERE a.side = 0 AND b.side = 1{"" if itself else " AND a.id <> b.id"}),
+lsim AS (SELECT lc.id, lc.rid, CAST(count(*) FILTER (a.v = b.v) AS DOUBLE) / 128 AS similarity FROM lc JOIN lg a ON a.side = 0 AND a.id = lc.id JOIN lg b ON b.side = 1 AND b.id = lc.rid AND b.slot = a.slot GROUP BY lc.id, lc.rid),
+lsh AS (SELECT id, rid AS match_id, similarity, CAST(row_number() OVER (PARTITION BY id ORDER BY similarity DESC, rid) AS INTEGER) AS rank FROM lsim WHERE similarity >= 0.7)"""
+
+
+DOCS_SQL, ITEMS_SQL = _whole_sql("doc_id", "documents"), _whole_sql("item_id", "benchmark")
+
+
+@query(f"WITH {_lsh_sql(DOCS_SQL, ITEMS_SQL)} SELECT id, match_id, similarity, rank FROM lsh WHERE rank <= 5")
 def lsh_link(spark, sf_dir):
+    """Documents and the benchmark items whose whole texts are alike."""
     docs, items = _whole(spark, sf_dir)
-    return link.lsh_link(link.signatures(docs, "id", 32), link.signatures(items, "id", 32)).select("id", "match_id", "similarity", "rank")
+    return link.lsh_link(docs, items).select("id", "match_id", "similarity", "rank")
 
 
-@query(f"""
-WITH a AS ({_whole_sql("doc_id", "documents")}), b AS ({_whole_sql("item_id", "benchmark")}),
-l AS (SELECT id, CAST(floor(length(text) * 0.9) AS BIGINT) AS low, CAST(floor(length(text) * 1.1) AS BIGINT) AS high, list_distinct({WORDS}) AS w FROM a),
-r AS (SELECT id AS rid, length(text) AS rlen, CAST(floor(length(text) / 100) AS BIGINT) AS bucket, list_distinct({WORDS}) AS rw FROM b),
-p AS (SELECT id, rid, bucket, w, rw FROM l JOIN r ON rlen BETWEEN low AND high),
-s AS (SELECT id, rid, bucket, CASE WHEN len(w) + len(rw) = 0 THEN 0.0 ELSE CAST(len(list_intersect(w, rw)) AS DOUBLE) / (len(w) + len(rw) - len(list_intersect(w, rw))) END AS similarity FROM p)
-SELECT id, rid AS match_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, bucket, rid) AS k FROM s WHERE similarity >= 0.3) WHERE k = 1""")
+@query(f"WITH {_lsh_sql(DOCS_SQL, DOCS_SQL, itself=False)} SELECT id, match_id, similarity, rank FROM lsh WHERE rank <= 5")
+def lsh_copies(spark, sf_dir):
+    """Documents and the five other documents most like them."""
+    docs, _ = _whole(spark, sf_dir)
+    return link.lsh_link(docs, docs, itself=False).select("id", "match_id", "similarity", "rank")
+
+
+NEAR = f"""
+na AS ({DOCS_SQL}), nb AS ({ITEMS_SQL}),
+nl AS (SELECT id, CAST(floor(length(text) * 0.9) AS BIGINT) AS low, CAST(floor(length(text) * 1.1) AS BIGINT) AS high, list_distinct({WORDS}) AS w FROM na),
+nr AS (SELECT id AS rid, length(text) AS rlen, CAST(floor(length(text) / 100) AS BIGINT) AS bucket, list_distinct({WORDS}) AS rw FROM nb),
+np AS (SELECT id, rid, bucket, w, rw FROM nl JOIN nr ON rlen BETWEEN low AND high),
+ns AS (SELECT id, rid, bucket, CASE WHEN len(w) + len(rw) = 0 THEN 0.0 ELSE CAST(len(list_intersect(w, rw)) AS DOUBLE) / (len(w) + len(rw) - len(list_intersect(w, rw))) END AS similarity FROM np),
+near AS (SELECT id, rid AS match_id, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, bucket, rid) AS k FROM ns)"""
+
+
+@query(f"WITH {NEAR} SELECT id, match_id, similarity FROM near WHERE similarity >= 0.3 AND k = 1")
 def length_jaccard_link(spark, sf_dir):
     docs, items = _whole(spark, sf_dir)
     return link.length_jaccard_link(docs, items, threshold=0.3)
 
 
-@query()
+@query(f"""
+WITH {EXACT}, {_lsh_sql(DOCS_SQL, ITEMS_SQL)}, {NEAR}
+SELECT d.doc_id AS id, CASE WHEN m.id IS NOT NULL THEN m.rid WHEN lsh.id IS NOT NULL THEN lsh.match_id ELSE near.match_id END AS match_id,
+  CASE WHEN m.id IS NOT NULL THEN 1.0 WHEN lsh.id IS NOT NULL THEN lsh.similarity ELSE near.similarity END AS similarity,
+  CASE WHEN m.id IS NOT NULL THEN 'exact' WHEN lsh.id IS NOT NULL THEN 'lsh' WHEN near.id IS NOT NULL THEN 'length_jaccard' ELSE 'none' END AS stage
+FROM documents d LEFT JOIN m ON m.id = d.doc_id AND m.k = 1 LEFT JOIN lsh ON lsh.id = d.doc_id AND lsh.rank = 1 LEFT JOIN near ON near.id = d.doc_id AND near.k = 1 AND near.similarity >= 0.5""")
 def cascade_link(spark, sf_dir):
     docs, items = _whole(spark, sf_dir)
-    exact = link.exact_link(link.sentence_hashes(table(spark, sf_dir, "documents"), "doc_id"), link.sentence_hashes(table(spark, sf_dir, "benchmark"), "item_id"))
-    lsh = link.lsh_link(link.signatures(docs, "id", 32), link.signatures(items, "id", 32)).where("rank = 1")
-    near = link.length_jaccard_link(docs, items, threshold=0.5)
-    return link.cascade([("exact", exact), ("lsh", lsh), ("length_jaccard", near)], docs)
+    texts, hashes = table(spark, sf_dir, "documents"), link.sentence_hashes(table(spark, sf_dir, "benchmark"), "item_id")
+
+    def exact(rest: DataFrame) -> DataFrame:
+        return link.exact_link(link.sentence_hashes(texts, "doc_id"), hashes)
+
+    def alike(rest: DataFrame) -> DataFrame:
+        return link.lsh_link(rest, items, k=1)
+
+    def near(rest: DataFrame) -> DataFrame:
+        return link.length_jaccard_link(rest, items, threshold=0.5)
+
+    return link.cascade([("exact", exact), ("lsh", alike), ("length_jaccard", near)], docs)
 
 
 #: DuckDB's distance counts bytes: each letter beyond ASCII that the tables hold becomes one control character first.
