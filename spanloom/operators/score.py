@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spans import dedup_spans, greedy_matches
@@ -73,3 +73,27 @@ def label_balance(true: DataFrame, predicted: DataFrame) -> DataFrame:
     """(label, n_true, n_predicted) over the labels of either side."""
     both = true.select("label", F.lit(1).alias("t")).unionByName(predicted.select("label", F.lit(0).alias("t")))
     return both.groupBy("label").agg(F.sum("t").alias("n_true"), F.sum(1 - F.col("t")).alias("n_predicted"))
+
+
+def probability_scores(rows: DataFrame, threshold: float = 0.5, empty: float = 0.0) -> DataFrame:
+    """Precision, recall, F1 and area under the curve of (label, truth 0 or 1, prob): by label, over all rows (micro), and the labels' mean (macro).
+
+    A probability over the threshold predicts 1; `empty` stands for a division by nothing; the area of rows that are all 0 or all 1 is null.
+    Rows that lack a label, truth or probability are left out. Rows are counted by label and probability before they are ranked.
+    """
+    counts = rows.dropna(subset=["label", "truth", "prob"]).groupBy("label", "prob").agg(F.sum("truth").alias("pos"), F.sum(1 - F.col("truth")).alias("neg"))
+    one = counts.select(F.lit("label").alias("scope"), "label", "prob", "pos", "neg")
+    pooled = counts.groupBy("prob").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(F.lit("micro").alias("scope"), F.lit("").alias("label"), "prob", "pos", "neg")
+    below = Window.partitionBy("scope", "label").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = one.unionByName(pooled).withColumn("wins", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2))
+    over = F.col("prob") > threshold
+    n = ranked.groupBy("scope", "label").agg(
+        F.sum(F.when(over, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(over, F.col("neg")).otherwise(0)).alias("fp"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("wins").alias("wins")
+    )
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(empty)
+    per = n.withColumns({"precision": part(F.col("tp"), F.col("tp") + F.col("fp")), "recall": part(F.col("tp"), F.col("n_pos"))})
+    both = F.col("precision") + F.col("recall")
+    per = per.withColumns({"f1": part(2 * F.col("precision") * F.col("recall"), both), "auc": F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / (F.col("n_pos") * F.col("n_neg")))})
+    per = per.select("scope", "label", "precision", "recall", "f1", "auc")
+    macro = per.where("scope = 'label'").groupBy(F.lit("macro").alias("scope"), F.lit("").alias("label")).agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1", "auc")])
+    return per.unionByName(macro)

@@ -148,3 +148,67 @@ def shift(spans: DataFrame, at: str) -> DataFrame:
 def without_repeats(values: Column) -> Column:
     """An array without the elements that equal the one before."""
     return F.filter(values, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(values, i - 1)))
+
+
+ENTITY = "struct<label:string,start:int,end:int,scores:array<double>>"
+
+
+def merged_entities(tokens: Column, text: Column, threshold: float = 0.5, least: float = 0.1) -> Column:
+    """Entities (label, start, end, score) of the IOB-tagged tokens (tag, start, end, score) of one chunk, in order.
+
+    A B- starts an entity, but goes on with one of its type that it touches or that only white space parts from it. An I- goes on with an
+    entity of its type; one of another type is passed over, with its score, where the next token is an I- of the entity's type, and else starts
+    one. O ends an entity. Of these stay what `entity_scores` keeps and what isn't symbols only; the score is the mean. No tokens, no entities.
+    """
+    some = F.filter(tokens, lambda t: t["tag"].isNotNull())
+    rows = F.transform(some, lambda t, i: F.struct(t["tag"].alias("tag"), t["start"].alias("start"), t["end"].alias("end"), t["score"].alias("score"), F.get(some["tag"], i + 1).alias("next")))
+    start = F.struct(F.array().cast(f"array<{ENTITY}>").alias("done"), F.lit(None).cast(ENTITY).alias("now"))
+
+    def step(s: Column, t: Column) -> Column:
+        now, kind = s["now"], F.substring(t["tag"], 3, 1000)
+        inside, begins = t["tag"].startswith("I-"), t["tag"].startswith("B-")
+        between = F.substring(text, now["end"] + 1, t["start"] - now["end"])
+        same = now.isNotNull() & (now["label"] == kind)
+        grows = same & (inside | (begins & ((now["end"] == t["start"]) | between.rlike(r"^\s+$"))))
+        passed = now.isNotNull() & ~same & inside & F.coalesce(t["next"] == F.concat(F.lit("I-"), now["label"]), F.lit(False))
+        fresh = F.struct(kind.alias("label"), t["start"].alias("start"), t["end"].alias("end"), F.array(t["score"]).alias("scores")).cast(ENTITY)
+        longer = F.struct(now["label"].alias("label"), now["start"].alias("start"), t["end"].alias("end"), F.array_append(now["scores"], t["score"]).alias("scores")).cast(ENTITY)
+        then = F.when(grows, longer).when(passed, now).when(begins | inside, fresh)
+        return F.struct(F.when(now.isNotNull() & ~grows & ~passed, F.array_append(s["done"], now)).otherwise(s["done"]).alias("done"), then.alias("now"))
+
+    found = F.aggregate(rows, start, step, lambda s: F.when(s["now"].isNotNull(), F.array_append(s["done"], s["now"])).otherwise(s["done"]))
+    worth = F.filter(found, lambda e: entity_scores(e["scores"], threshold, least) & ~F.trim(F.substring(text, e["start"] + 1, e["end"] - e["start"])).rlike(r"^[^\p{L}\p{N}_]+$"))
+    mean = lambda e: F.aggregate(e["scores"], F.lit(0.0), lambda a, x: a + x) / F.size(e["scores"])
+    return F.transform(worth, lambda e: F.struct(e["label"].alias("label"), e["start"].alias("start"), e["end"].alias("end"), mean(e).alias("score")))
+
+
+#: White space within a character class, in Java and in RE2.
+SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+#: Numbers with a decimal part and a sign, words with hyphens, brackets, other single signs: a fixed value but for SPACE.
+WORD = rf"\p{{N}}+[.,]?\p{{N}}*[{SPACE}]*[%$€]?|\p{{L}}+(?:-\p{{L}}+)*|[()\[\]{{}}]|[^\p{{L}}\p{{N}}{SPACE}]"
+
+
+def word_tokens(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, pos, word, start, end) of all words, numbers and signs of whole texts; null and empty texts have none.
+
+    What the pattern leaves out is split off by the same pattern, so offsets are running sums of both.
+    """
+    t = F.col(text)
+    parts = F.arrays_zip(F.regexp_extract_all(t, F.lit(WORD), 0).alias("word"), F.slice(F.split(t, WORD, -1), 1, F.regexp_count(t, F.lit(WORD))).alias("gap"))
+    rows = docs.select(key, F.posexplode(parts).alias("pos", "p")).select(key, "pos", "p.word", F.char_length("p.gap").alias("gap"))
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.char_length("word")).over(before).cast("int")
+    return rows.withColumn("end", end).select(key, "pos", "word", (F.col("end") - F.char_length("word")).alias("start"), "end")
+
+
+def override_o(scores: Column, threshold: float) -> Column:
+    """The tag of the highest score, from a map of tags; where that is O and its score is under the threshold, the best other tag. Ties go to the smaller tag."""
+    best = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("tag"))))
+    top = F.try_element_at(best(scores), F.lit(1))
+    other = F.try_element_at(best(F.map_filter(scores, lambda k, _: k != "O")), F.lit(1))
+    return F.when((top["tag"] == "O") & (-top["s"] < threshold), F.coalesce(other["tag"], top["tag"])).otherwise(top["tag"])
+
+
+def word_tags(pieces: DataFrame, key: list[str], order: str = "sub") -> DataFrame:
+    """Of the pieces of a word, the tag of the first one."""
+    return pieces.groupBy(*key).agg(F.min_by("tag", order).alias("tag"))

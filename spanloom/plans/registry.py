@@ -696,6 +696,74 @@ def split_roles(spark, sf_dir):
     return records.split_roles(rows, "source", F.col("batch") == 0).select("source", "role")
 
 
+#: Tags and scores of tokens by a hash of their place: every order of types, gaps of O, and scores from 0.05 on.
+PLACE = "CAST(concat('0x', substring(md5(concat(conv_id, '-', turn, '-', pos)), 1, 7)) AS BIGINT)"
+TAGGED = f"""k AS ({TOKENS_SQL}), z AS (SELECT conv_id, turn, pos, start, "end", {PLACE} AS h FROM k),
+tk AS (SELECT conv_id, turn, row_number() OVER w AS i, CAST(start AS INTEGER) AS s, CAST("end" AS INTEGER) AS e, tag, score, lead(tag) OVER w AS nxt FROM (
+  SELECT *, ['O', 'O', 'B-X', 'B-Y', 'I-X', 'I-X', 'I-X', 'I-Y'][h % 8 + 1] AS tag, 0.05 + (h // 8 % 95) / 100 AS score FROM z) WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos))"""
+
+
+@query(rf"""WITH RECURSIVE {TAGGED}, tx AS (SELECT tk.*, substring(tag, 3) AS kind, text FROM tk JOIN conversations USING (conv_id, turn)),
+r AS (SELECT conv_id, turn, i, s, e, score, CASE WHEN tag <> 'O' THEN kind END AS label, e AS until, 1 AS entity, tag <> 'O' AS used FROM tx WHERE i = 1
+  UNION ALL SELECT conv_id, turn, i, s, e, score, CASE WHEN tag = 'O' THEN NULL WHEN passed THEN label ELSE kind END, CASE WHEN passed THEN until ELSE e END, CASE WHEN grows OR passed THEN entity ELSE entity + 1 END, tag <> 'O' AND NOT passed FROM (
+    SELECT t.*, r.label, r.until, r.entity, coalesce(r.label = t.kind, FALSE) AND (t.tag[1] = 'I' OR t.tag[1] = 'B' AND (r.until = t.s OR regexp_full_match(substring(t.text, r.until + 1, t.s - r.until), '\s+'))) AS grows,
+      coalesce(t.tag[1] = 'I' AND r.label <> t.kind AND t.nxt = concat('I-', r.label), FALSE) AS passed
+    FROM r JOIN tx t ON t.conv_id = r.conv_id AND t.turn = r.turn AND t.i = r.i + 1)),
+g AS (SELECT conv_id, turn, entity, min(label) AS label, min(s) AS start, max(e) AS "end", avg(score) AS score, median(score) AS middle, min(score) AS least FROM r WHERE used GROUP BY conv_id, turn, entity)
+SELECT conv_id, turn, label, start, "end", round(g.score, 6) AS score FROM g JOIN conversations c USING (conv_id, turn) WHERE middle >= 0.5 AND least > 0.1
+  AND NOT regexp_full_match(trim(substring(c.text, start + 1, "end" - start)), '[^\p{{L}}\p{{N}}_]+')""")
+def merged_entities(spark, sf_dir):
+    """Entities of scored tokens, put together by the rules for touching and intruding tags."""
+    h = T.small_hash(F.concat_ws("-", "conv_id", "turn", "pos"))
+    tags = F.array(*[F.lit(t) for t in ("O", "O", "B-X", "B-Y", "I-X", "I-X", "I-X", "I-Y")])
+    rows = token_rows(spark, sf_dir).withColumn("h", h).withColumns({"tag": F.get(tags, (F.col("h") % 8).cast("int")), "score": F.lit(0.05) + F.floor(F.col("h") / 8) % 95 / 100})
+    chunks = rows.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "tag", "start", "end", "score"))).alias("tokens"))
+    chunks = chunks.join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    found = chunks.select("conv_id", "turn", F.explode(spans.merged_entities(F.col("tokens"), F.col("text"))).alias("e"))
+    return found.select("conv_id", "turn", "e.label", "e.start", "e.end", F.round("e.score", 6).alias("score"))
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '{spans.WORD}') AS w, string_split_regex(text, '{spans.WORD}') AS g FROM documents),
+b AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w, g FROM a),
+c AS (SELECT doc_id, i, w[i] AS word, sum(length(w[i]) + length(g[i])) OVER (PARTITION BY doc_id ORDER BY i) AS "end" FROM b)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, word, CAST("end" - length(word) AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end" FROM c""")
+def word_tokens(spark, sf_dir):
+    """Words, numbers and signs of all documents with their offsets."""
+    return spans.word_tokens(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(f"""WITH l AS (SELECT unnest(['quality', 'toxic']) AS label, unnest([quality, toxic]) AS truth, CAST(concat('0x', substring(md5(CAST(doc_id AS VARCHAR)), 1, 7)) AS BIGINT) % 200 / 200 AS prob FROM labels),
+b AS (SELECT 'label' AS scope, label, truth, prob FROM l UNION ALL SELECT 'micro', '', truth, prob FROM l),
+n AS (SELECT scope, label, sum(truth) FILTER (prob > 0.5) AS tp, count(*) FILTER (prob > 0.5) AS said, sum(truth) AS pos FROM b GROUP BY scope, label),
+u AS (SELECT scope, label, avg(CASE WHEN x.prob > y.prob THEN 1.0 WHEN x.prob = y.prob THEN 0.5 ELSE 0.0 END) AS auc FROM b x JOIN b y USING (scope, label) WHERE x.truth = 1 AND y.truth = 0 GROUP BY scope, label),
+m AS (SELECT scope, label, tp / said AS precision, tp / pos AS recall, auc FROM n JOIN u USING (scope, label)),
+f AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM m)
+SELECT scope, label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(auc, 6) AS auc FROM (
+  SELECT scope, label, precision, recall, f1, auc FROM f UNION ALL SELECT 'macro', '', avg(precision), avg(recall), avg(f1), avg(auc) FROM f WHERE scope = 'label')""")
+def probability_scores(spark, sf_dir):
+    """Scores of probabilities that a hash gives, so the areas are near a half."""
+    rows = table(spark, sf_dir, "labels").withColumn("prob", T.small_hash(F.col("doc_id").cast("string")) % 200 / 200)
+    rows = rows.unpivot(["prob"], ["quality", "toxic"], "label", "truth")
+    return score.probability_scores(rows).select("scope", "label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "auc")])
+
+
+PIECES = f"""k AS ({TOKENS_SQL}), p AS (SELECT conv_id, turn, pos, unnest(range(0, 1 + length(word) // 5)) AS sub FROM k),
+q AS (SELECT *, CAST(concat('0x', substring(md5(concat(conv_id, '-', turn, '-', pos, '-', sub)), 1, 7)) AS BIGINT) AS h FROM p),
+o AS (SELECT conv_id, turn, pos, sub, (h % 100) / 100 AS o, (h // 100 % 100) / 100 AS b, (h // 10000 % 100) / 100 AS i FROM q)"""
+
+
+@query(f"""WITH {PIECES}, t AS (SELECT *, CASE WHEN b >= i THEN 'B-X' ELSE 'I-X' END AS other FROM o)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, CASE WHEN o > greatest(b, i) AND o >= 0.7 THEN 'O' ELSE other END AS tag FROM t WHERE sub = 0""")
+def word_tags(spark, sf_dir):
+    """Tags of words from scores of their pieces: O gives way to the best other tag under 0.7, the first piece decides."""
+    rows = token_rows(spark, sf_dir).withColumn("sub", F.explode(F.sequence(F.lit(0), F.floor(F.char_length("word") / 5).cast("int"))))
+    h = T.small_hash(F.concat_ws("-", "conv_id", "turn", "pos", "sub"))
+    part = lambda d: F.floor(F.col("h") / d) % 100 / 100
+    scores = F.create_map(F.lit("O"), part(1), F.lit("B-X"), part(100), F.lit("I-X"), part(10000))
+    tagged = rows.withColumn("h", h).withColumn("tag", spans.override_o(scores, 0.7))
+    return spans.word_tags(tagged, ["conv_id", "turn", "pos"])
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: documents linked to one another by leading sentences."""
     return self_link(spark, "/root/testdata/sf0.001")
