@@ -272,24 +272,36 @@ def compare_files(spark, sf_dir):
 # Scoring of spans
 
 KEYS = "filename, label, start, \"end\""
+#: From `c` (label, tp, np, ng) to the report.
+REPORT = """r AS (SELECT label, tp, np - tp AS fp, ng - tp AS fn, CASE WHEN np > 0 THEN tp / np ELSE 0.0 END AS precision, CASE WHEN ng > 0 THEN tp / ng ELSE 0.0 END AS recall FROM c),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r),
+u AS (SELECT * FROM f UNION ALL SELECT 'macro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), avg(precision), avg(recall), avg(f1) FROM f
+  UNION ALL SELECT 'micro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), sum(tp) / (sum(tp) + sum(fp)), sum(tp) / (sum(tp) + sum(fn)), 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) FROM f)
+SELECT label, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM u"""
 
 
 @query(f"""WITH g AS (SELECT DISTINCT {KEYS}, 1 AS g FROM ({GOLD_SQL})), p AS (SELECT DISTINCT {KEYS}, 1 AS p FROM ({PRED_SQL})),
 b AS (SELECT coalesce(g.label, p.label) AS label, coalesce(g.g, 0) AS g, coalesce(p.p, 0) AS p FROM g FULL JOIN p ON g.filename = p.filename AND g.label = p.label AND g.start = p.start AND g."end" = p."end"),
 c AS (SELECT label, CAST(sum(g * p) AS BIGINT) AS tp, CAST(sum(p) AS BIGINT) AS np, CAST(sum(g) AS BIGINT) AS ng FROM b GROUP BY label),
-r AS (SELECT label, tp, np - tp AS fp, ng - tp AS fn, CASE WHEN np > 0 THEN tp / np ELSE 0.0 END AS precision, CASE WHEN ng > 0 THEN tp / ng ELSE 0.0 END AS recall FROM c),
-f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM r),
-u AS (SELECT * FROM f UNION ALL SELECT 'macro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), avg(precision), avg(recall), avg(f1) FROM f
-  UNION ALL SELECT 'micro', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), sum(tp) / (sum(tp) + sum(fp)), sum(tp) / (sum(tp) + sum(fn)), 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) FROM f)
-SELECT label, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM u""")
+{REPORT}""")
 def strict_scores(spark, sf_dir):
     out = score.strict(gold(spark, sf_dir), pred(spark, sf_dir))
     return out.select("label", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query()
+@query(f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY filename, label ORDER BY ord, start, "end") AS i FROM (SELECT {KEYS}, min(ord) AS ord FROM ({GOLD_SQL}) GROUP BY ALL)),
+p AS (SELECT filename, label, list({{'s': start, 'e': "end"}} ORDER BY ord, start, "end") AS p FROM (SELECT {KEYS}, min(ord) AS ord FROM ({PRED_SQL}) GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT filename, label, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used FROM p
+  UNION ALL SELECT filename, label, i, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END FROM (
+    SELECT g.filename, g.label, g.i, m.used, list_min(list_filter(range(1, len(p.p) + 1), lambda j: p.p[j].s <= g."end" AND g.start <= p.p[j].e AND NOT list_contains(m.used, j))) AS pick
+    FROM m JOIN g ON g.filename = m.filename AND g.label = m.label AND g.i = m.i + 1 JOIN p ON p.filename = g.filename AND p.label = g.label)),
+t AS (SELECT label, sum(n) AS tp FROM (SELECT filename, label, max(len(used)) AS n FROM m GROUP BY ALL) GROUP BY label),
+c AS (SELECT x.label, CAST(coalesce(t.tp, 0) AS BIGINT) AS tp, CAST(coalesce(y.n, 0) AS BIGINT) AS np, x.n AS ng FROM (SELECT label, count(*) AS n FROM g GROUP BY label) x
+  LEFT JOIN (SELECT label, sum(len(p)) AS n FROM p GROUP BY label) y ON x.label = y.label LEFT JOIN t ON t.label = x.label),
+{REPORT}""")
 def relaxed_scores(spark, sf_dir):
-    return score.relaxed(gold(spark, sf_dir), pred(spark, sf_dir))
+    out = score.relaxed(gold(spark, sf_dir), pred(spark, sf_dir))
+    return out.select("label", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(f"""WITH g AS ({GOLD_SQL}), p AS ({PRED_SQL}) SELECT g.label, count(*) AS pairs, count(DISTINCT g.filename) AS documents FROM g JOIN p ON g.filename = p.filename AND g.label = p.label AND g.start <= p."end" AND p.start <= g."end" GROUP BY g.label""")
@@ -505,13 +517,20 @@ def centered_chunks(spark, sf_dir):
     return rows.where(F.startswith("tag", F.lit("B-"))).select("conv_id", "turn", start.cast("int").alias("start"), stop.cast("int").alias("stop"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LABELLED}, n AS (SELECT conv_id, turn, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id, turn) AS n, coalesce(lead(tag) OVER w, 'O') AS nxt FROM t WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)),
+r AS (SELECT DISTINCT conv_id, turn, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop FROM n
+  UNION ALL SELECT n.conv_id, n.turn, n.i, r.stop, CASE WHEN n.i = n.n OR n.i - r.stop >= 16 AND (nxt[1] <> 'I' OR n.i - r.stop >= 32) THEN n.i ELSE r.stop END FROM r JOIN n ON n.conv_id = r.conv_id AND n.turn = r.turn AND n.i = r.i + 1)
+SELECT conv_id, turn, CAST(start // 16 AS INTEGER) AS id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM r WHERE stop > start""")
 def standard_chunks(spark, sf_dir):
     rows = _labelled(spark, sf_dir).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "tag")))["tag"].alias("tags"))
     return rows.select("conv_id", "turn", F.explode(spans.standard_chunks(F.col("tags"), 16)).alias("c")).select("conv_id", "turn", "c.*")
 
 
-@query()
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[\s\x0B]+', '\1' || chr(31), 'g'), chr(31)), lambda x: x <> '') AS p FROM documents),
+x AS (SELECT doc_id, i, len(string_split(p[i], ' ')) AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM s)),
+r AS (SELECT doc_id, i, 0 AS chunk, n FROM x WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.i, CASE WHEN r.n + x.n <= 64 THEN chunk ELSE chunk + 1 END, CASE WHEN r.n + x.n <= 64 THEN r.n + x.n ELSE x.n END FROM r JOIN x ON x.doc_id = r.doc_id AND x.i = r.i + 1)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(max(n) AS INTEGER) AS words FROM r GROUP BY doc_id, chunk""")
 def greedy_chunks(spark, sf_dir):
     """Sentences of documents, by number of words, put together up to 64 words."""
     lengths = F.transform(F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: s != ""), lambda s: F.size(F.split(s, " ")))
@@ -532,12 +551,17 @@ def mojibake_fix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", kernels.repair_encoding("text").alias("text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE k AS ({TOKENS_SQL}), n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS i, CAST(length(word) % 3 AS DOUBLE) AS o, CAST(length(word) % 5 AS DOUBLE) AS b, CAST(length(word) % 7 AS DOUBLE) AS c FROM k),
+r AS (SELECT conv_id, turn, i, o AS x, b AS y, c - 1e9 AS z, '0' AS px, '1' AS py, '2' AS pz FROM n WHERE i = 1
+  UNION ALL SELECT conv_id, turn, i, greatest(x, y, z) + o, greatest(x, y, z) + b, greatest(x - 1e9, y, z) + c, p || ',0', p || ',1', q || ',2' FROM (
+    SELECT n.*, x, y, z, CASE WHEN x >= y AND x >= z THEN px WHEN y >= z THEN py ELSE pz END AS p, CASE WHEN x - 1e9 >= y AND x - 1e9 >= z THEN px WHEN y >= z THEN py ELSE pz END AS q
+    FROM r JOIN n ON n.conv_id = r.conv_id AND n.turn = r.turn AND n.i = r.i + 1))
+SELECT conv_id, turn, CASE WHEN x >= y AND x >= z THEN px WHEN y >= z THEN py ELSE pz END AS path FROM (SELECT *, max(i) OVER (PARTITION BY conv_id, turn) AS last FROM r) WHERE i = last""")
 def viterbi_decode(spark, sf_dir):
     """Tag paths of turns from scores by word length."""
     rows = token_rows(spark, sf_dir).withColumn("s", F.array((F.char_length("word") % 3).cast("double"), (F.char_length("word") % 5).cast("double"), (F.char_length("word") % 7).cast("double")))
     rows = rows.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "s")))["s"].alias("s"))
-    return rows.select("conv_id", "turn", kernels.viterbi_bio("s").alias("path"))
+    return rows.select("conv_id", "turn", F.array_join(kernels.viterbi_bio("s").cast("array<string>"), ",").alias("path"))
 
 
 @query("""SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY ALL""")
