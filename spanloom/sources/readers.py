@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 TAG = "struct<start:int,end:int,tag:string>"
 CORPUS = f"id string, text string, tags array<{TAG}>, lang string"
@@ -60,12 +61,15 @@ def mixed_tsv(spark: SparkSession, paths: list[str], required: tuple[str, ...] =
 
 
 def numbered_lines(spark: SparkSession, path: str, count_blank: bool = True) -> DataFrame:
-    """(line_num, text) from 0, blank lines left out; count_blank: whether they take a number."""
-    schema = "text string, line_num long"
-    rows = spark.read.text(path).rdd.map(lambda r: r.value)
-    if not count_blank:
-        rows = rows.filter(lambda x: x.strip() != "")
-    return spark.createDataFrame(rows.zipWithIndex(), schema).where(F.trim("text") != "").select("line_num", "text")
+    """(line_num, text) of one file from 0, blank lines left out; count_blank: whether they take a number.
+
+    Lines are numbered within their split of the file, and splits by the number of lines before them: two scans, nothing in one task but a row a split.
+    """
+    rows, filled = spark.read.text(path).select(F.col("value").alias("text")), F.rlike("text", F.lit(r"\S"))
+    rows = (rows if count_blank else rows.where(filled)).withColumn("at", F.monotonically_increasing_id()).withColumn("split", F.shiftright("at", 33))
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select("split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return rows.where(filled).join(splits, "split").select((F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("line_num"), "text")
 
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
@@ -102,9 +106,12 @@ def with_source(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def reports(spark: SparkSession, path: str, name: str = "eval_results.json") -> DataFrame:
-    """Flat JSON reports below a folder as (file, metric, value)."""
+    """JSON reports below a folder as (file, metric, value); a metric within an object is named `outer_inner`. What is no number is left out."""
     raw = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path, wholetext=True)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.explode(F.from_json("value", "map<string,string>")).alias("metric", "value"))
+    kind = "map<string,string>"
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.explode(F.from_json("value", kind)).alias("metric", "value"))
+    inner = F.transform_keys(F.from_json("value", kind), lambda k, _: F.concat_ws("_", "metric", k))
+    rows = rows.select("file", F.explode(F.when(F.startswith("value", F.lit("{")), inner).otherwise(F.create_map("metric", "value"))).alias("metric", "value"))
     return rows.withColumn("value", F.col("value").try_cast("double")).where("value IS NOT NULL")
 
 
@@ -133,7 +140,19 @@ def lookup_by_line(rows: DataFrame, lines: DataFrame, line_col: str) -> DataFram
     return rows.withColumn("__line", valid).join(lines.withColumnRenamed("line_num", "__line"), "__line", "left").drop("__line")
 
 
-def encode_ids(pairs: DataFrame, id_col: str) -> DataFrame:
-    """Ids as dense integers in their order, from 0, through a table of the distinct ids."""
-    ids = pairs.select(id_col).distinct()
-    return pairs.join(ids.withColumn("label", F.row_number().over(Window.orderBy(id_col)) - 1), id_col)
+def encode_ids(pairs: DataFrame, id_col: str, ranges: int = 200) -> DataFrame:
+    """Ids as dense integers in their order, from 0, through a table of the distinct ids. Rows without an id are left out.
+
+    Ids are numbered within ranges, and ranges by the number of ids before them. The bounds are the ids of smallest hash, `ranges` at
+    most, which one job fetches: any bounds give the same numbers, even ones only share the work.
+    """
+    ids = pairs.select(id_col).distinct().where(F.col(id_col).isNotNull())
+    kind = pairs.schema[id_col].dataType
+    bounds = [r[0] for r in ids.orderBy(F.xxhash64(id_col)).limit(ranges).collect()]
+    known = F.array(*[F.lit(b).cast(kind) for b in bounds]).cast(ArrayType(kind))
+    ids = ids.withColumn("__range", F.size(F.filter(known, lambda b: b < F.col(id_col))))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ids.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(id_col)) - 1
+    numbers = ids.join(F.broadcast(firsts), "__range").select(id_col, (F.col("__first") + place).alias("label"))  # a row a range
+    return pairs.join(numbers, id_col)

@@ -66,3 +66,73 @@ def test_round_trips(spark, tmp_path):
     assert rows(readers.checked_parquet(spark, str(tmp_path / "p"), table.columns)) == rows(table)
     with pytest.raises(ValueError, match="lacks"):
         readers.checked_parquet(spark, str(tmp_path / "p"), ["absent"])
+
+
+def test_long_file_in_splits(spark, tmp_path):
+    """Numbers run on over the splits of a file."""
+    path = put(tmp_path / "l.txt", "".join("\n" if i % 7 == 3 else f"line {i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 3
+        assert rows(readers.numbered_lines(spark, path)) == sorted(((i, f"line {i}") for i in range(5000) if i % 7 != 3), key=repr)
+        kept = [i for i in range(5000) if i % 7 != 3]
+        assert rows(readers.numbered_lines(spark, path, count_blank=False)) == sorted(((n, f"line {i}") for n, i in enumerate(kept)), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_ids_in_their_order(spark):
+    names = [f"id{i * 37 % 1000:03d}" for i in range(1000)]
+    df = spark.createDataFrame([*((n,) for n in [*names, *names[:5]]), (None,)], "id string")
+    want = sorted((n, int(n[2:])) for n in [*names, *names[:5]])
+    for ranges in (1, 7, 2000):
+        assert sorted(tuple(r) for r in readers.encode_ids(df, "id", ranges).select("id", "label").collect()) == want
+    assert readers.encode_ids(df.limit(0), "id").count() == 0
+
+
+def test_nested_reports(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    put(tmp_path / "a" / "eval_results.json", json.dumps({"f1": 0.5, "name": "x", "strict": {"p": 1, "note": "y"}, "list": [1]}))
+    assert rows(readers.reports(spark, str(tmp_path)), "metric", "value") == [("f1", 0.5), ("strict_p", 1.0)]
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    put(tmp_path / "t" / "d.1.txt", "one\ntwo")
+    assert rows(readers.text_files(spark, str(tmp_path / "t"))) == [("d", "one\ntwo")]
+    path = put(tmp_path / "a.json", json.dumps([{"entity_group": "dis", "word": "w", "start": 1, "end": 2}]))
+    assert rows(readers.json_array(spark, path)) == [("document", "DIS", 1, 2, "w")]
+    path = put(tmp_path / "c.csv", "a,b\n1,2\n")
+    assert rows(readers.with_source(spark, path)) == [("1", "2", "c.csv")]
+    (tmp_path / "l1.txt").write_bytes("caf\xe9 \"x\n".encode("latin-1"))
+    assert rows(readers.latin1_lines(spark, str(tmp_path / "l1.txt"))) == [('café "x',)]
+    lines = spark.createDataFrame([(0, "zero"), (2, "two")], "line_num long, text string")
+    asked = spark.createDataFrame([(1, 0), (2, -1), (3, None), (4, 9), (5, 2)], "id int, line int")
+    assert rows(readers.lookup_by_line(asked, lines, "line"), "id", "text") == [(1, "zero"), (2, None), (3, None), (4, None), (5, "two")]
+    docs = spark.createDataFrame([("a", "x"), ("", "y"), ("b", ""), (None, "z")], "id string, text string")
+    assert rows(readers.first_split({"dev": docs.limit(0), "test": docs}, "id", "text")) == [("a", "x")]
+    docs.write.parquet(str(tmp_path / "p"))
+    assert readers.checked_parquet(spark, str(tmp_path / "p"), ["text"]).columns == ["text"]
+    with pytest.raises(ValueError, match="lacks"):
+        readers.checked_parquet(spark, str(tmp_path / "p"), ["title"])
+
+
+def test_more_writers(spark, tmp_path):
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(3, "c", "x"), (1, "a", "y"), (2, "b", "x")], "n int, s string, k string")
+    writers.jsonl(df, out)
+    assert rows(spark.read.schema(df.schema).json(out)) == [(1, "a", "y"), (2, "b", "x"), (3, "c", "x")]
+    writers.csv_fields(df, out, ["s", "n"])
+    assert rows(spark.read.option("header", True).csv(out)) == [("a", "1"), ("b", "2"), ("c", "3")]
+    writers.delimited(df, out, ["s", "k"])
+    assert rows(spark.read.text(out)) == [("a||y",), ("b||x",), ("c||x",)]
+    writers.report_json(df.where("n = 1"), out)
+    assert [json.loads(r.value) for r in spark.read.text(out).collect()] == [{"n": 1, "s": "a", "k": "y"}]
+    writers.sorted_parquet(df, out, "n")
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    writers.tsv(df, out, by="k")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("k=")) == ["k=x", "k=y"]
+    lines = spark.createDataFrame([(i, f"l{i}") for i in range(5)], "line_num long, text string")
+    writers.every_n_lines(lines, out, 2)
+    assert rows(spark.read.text(out), "part", "value") == [(0, "l0"), (0, "l1"), (1, "l2"), (1, "l3"), (2, "l4")]
