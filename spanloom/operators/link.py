@@ -90,10 +90,14 @@ def length_jaccard_link(left: DataFrame, right: DataFrame, tolerance: float = 0.
     return best.select("id", F.col("m.rid").alias("match_id"), F.col("m.similarity").alias("similarity"))
 
 
-def levenshtein_link(left: DataFrame, right: DataFrame, most: int = 10) -> DataFrame:
-    """Sides (id, block, s): the nearest right row of the same block by edit distance of s, if at most `most`; left-outer result."""
+def levenshtein_link(left: DataFrame, right: DataFrame, most: int = 10, earlier: bool = False) -> DataFrame:
+    """Sides (id, block, s): the nearest right row of the same block by edit distance of s, if at most `most`; left-outer result.
+
+    Ties go to the smaller id. `earlier` looks at right rows of smaller ids only, for a table against itself. Empty and null s match nothing.
+    """
     r = right.select(F.col("id").alias("rid"), "block", F.col("s").alias("rs")).where("rs <> ''")
-    near = left.where("s <> ''").join(r, "block").withColumn("d", F.levenshtein("s", "rs", most)).where("d >= 0")
+    pairs = left.where("s <> ''").join(r, "block")
+    near = (pairs.where("rid < id") if earlier else pairs).withColumn("d", F.levenshtein("s", "rs", most)).where("d >= 0")
     best = near.groupBy("id").agg(F.min(F.struct("d", "rid")).alias("m"))
     return left.select("id").join(best, "id", "left").select("id", F.col("m.rid").alias("match_id"), F.col("m.d").alias("distance"), F.col("m").isNotNull().alias("matched"))
 

@@ -165,10 +165,7 @@ def levenshtein_link(spark, sf_dir):
     """Documents whose first sentence starts alike and whose second is within ten edits of an earlier document's."""
     s = T.leading_sentences(F.col("text"), 2)
     side = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring(F.element_at(s, 1), 1, 12).alias("block"), F.element_at(s, 2).alias("s"))
-    r = side.select(F.col("id").alias("rid"), "block", F.col("s").alias("rs")).where("rs <> ''")
-    near = side.where("s <> ''").join(r, "block").where("rid < id").withColumn("d", F.levenshtein("s", "rs", 10)).where("d >= 0")
-    best = near.groupBy("id").agg(F.min(F.struct("d", "rid")).alias("m"))
-    return side.select("id").join(best, "id", "left").select("id", F.col("m.rid").alias("match_id"), F.col("m.d").alias("distance"), F.col("m").isNotNull().alias("matched"))
+    return link.levenshtein_link(side, side, earlier=True)
 
 
 TERMS = f"t AS (SELECT doc_id AS id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents)"
