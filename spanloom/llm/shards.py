@@ -48,8 +48,9 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     A null text has size 8 and the checksum of the empty text. A null id sorts before every other. Repeated rows each get a slot.
-    An empty table gives an empty result. The sample that reaches the driver holds about sample_per_range rows a range (bounded
-    by most_ranges); everything else stays on the executors.
+    Texts of any length count whole. An empty table gives an empty result; columns other than the two named are not read, whatever
+    their names. The samples that reach the driver hold about sample_per_range rows for each splitter (bounded by most_ranges):
+    one sample of all rows, then one of all overfull ranges together in each round, until none is overfull or no sample splits any.
     """
     text = text_of(text_col)
     rows = checkpoint(
@@ -70,18 +71,19 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         return sorted((r.key, r.ord) for r in of.where(u < F.col("size") * F.lit(want / max(1.0, size))).select("key", "ord").collect())
 
     splitters = _splitters(sample(rows, float(total), ranges * sample_per_range), ranges)
-    for _ in range(3):
+    while len(splitters) < 4 * most_ranges:
         placed = rows.withColumn("range", _range_of(splitters))
         heavy = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).where((F.col("bytes") > F.lit(2.0 * total / ranges)) & (F.col("n") > 1))
-        over = heavy.collect()  # at most half as many as there are ranges
-        if not over:
+        parts = {r.range: (min(64, math.ceil(r.bytes * ranges / total) * 2), r.bytes) for r in heavy.collect()}  # at most half as many as there are ranges
+        if not parts:
             break
-        more: set[tuple[int, int]] = set()
-        for r in over:  # a bounded number of further splitters for each
-            parts = min(64, math.ceil(r.bytes * ranges / total) * 2)
-            more.update(_splitters(sample(placed.where(F.col("range") == r.range), float(r.bytes), parts * sample_per_range), parts))
-        new = sorted(set(splitters) | more)
-        if new == splitters or len(new) > 2 * most_ranges:
+        # One stratified sample of all overfull ranges: their rates are at most half as many rows as there are ranges, so the broadcast is bounded.
+        rates = docs.sparkSession.createDataFrame([(r, n * sample_per_range / b) for r, (n, b) in parts.items()], "range int, rate double")
+        drawn: dict[int, list[tuple[int, int]]] = {r: [] for r in parts}
+        for r in placed.join(F.broadcast(rates), "range").where(u < F.col("size") * F.col("rate")).select("range", "key", "ord").collect():
+            drawn[r.range].append((r.key, r.ord))
+        new = sorted(set(splitters).union(*(_splitters(sorted(pairs), parts[r][0]) for r, pairs in drawn.items())))
+        if new == splitters:  # what is left is repeated rows
             break
         splitters = new
 
@@ -93,7 +95,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     placed = placed.withColumn("upto", F.sum("size").over(order)).withColumn("row", F.row_number().over(Window.partitionBy("range").orderBy("key", "ord", "rid")))
     group = Window.partitionBy("range", "key")
     placed = placed.withColumn("end", F.max("upto").over(group)).withColumn("group", F.sum("size").over(group))
-    # `at` has a row per range, at most twice most_ranges of them: its broadcast is bounded.
+    # `at` has a row per range, a few times most_ranges at most: its broadcast is bounded.
     placed = placed.join(F.broadcast(at), "range")
     small = F.col("group") * F.lit(64 * shards) <= F.lit(total)
     middle = F.col("at_bytes") + F.when(small, F.col("end") - F.col("group") / 2).otherwise(F.col("upto") - F.col("size") / 2)
