@@ -153,6 +153,26 @@ def test_shards_split_a_group_over_the_mean(spark):
     assert len(n) == 8 and max(n) <= 1.1 * min(n)
 
 
+def test_shards_against_plain_placement(spark, odd):
+    """Groups of equal texts lie in the order of their keys, each at its middle; however the rows are laid out."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect():
+        groups.setdefault(r.key, []).append((r.doc_id, r.n + 8))
+    total, at, want = sum(n for g in groups.values() for _, n in g), 0, {}
+    for _, group in sorted(groups.items()):
+        size = sum(n for _, n in group)
+        for i, n in sorted(group):
+            at += n
+            if size * 64 * 4 > total:
+                want[i] = min(3, int((at - n / 2) * 4 / total))
+        want |= {i: min(3, int((at - size / 2) * 4 / total)) for i, _ in group if i not in want}
+    for laid in (docs, docs.repartition(5), docs.coalesce(1)):
+        got = shards.shard(laid, shards=4, ranges_per_shard=4, sample_per_range=6)
+        assert {r.doc_id: r.shard for r in got.select("doc_id", "shard").collect()} == want
+    assert rows(shards.shard(odd), "doc_id", "size", "shard", "slot") == rows(shards.shard(odd.repartition(3)), "doc_id", "size", "shard", "slot")
+
+
 def test_splitters_subdivide():
     assert shards._splitters([], 4) == []
     cut = shards._splitters(sorted([(5, i) for i in range(100)] + [(9, 0)]), 4)
@@ -166,12 +186,23 @@ def test_top_k(spark):
 
 
 def test_top_k_odd_vectors(spark):
-    data = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (3, [1.0, 2.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [-1.0, 0.5]), (9, [1.0, 2.0, 3.0]), (100, [0.0, 0.0])]
+    data = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (3, [1.0, 2.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [-1.0, 0.5]), (9, [1.0, 2.0, 3.0]), (100, [0.0, 0.0]), (150, []), (10, []), (200, [3e5, -2e5]), (11, [4e7, 1e7]), (8, [-1.0, 0.5])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     assert rows(topk.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(brute.top_k(data), key=repr)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Small blocks and many pivots, vectors in tight clusters, so that bounds end the search early; extra columns clash with none of ours."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    random = np.random.default_rng(5)
+    centres = random.normal(size=(6, 8)) * 4
+    data = [(i, (centres[i % 6] + random.normal(size=8) / 50).round(3).tolist()) for i in range(1200)]
+    df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in data], "vec_id long, embedding array<double>, dim int, q_ids string, id int")
+    assert rows(topk.top_k(df.repartition(6)), "query_id", "rank", "vec_id", "score") == sorted(brute.top_k(data), key=repr)
+
+
 def test_near_copies(spark, documents, none):
     got = queries.op5_ngram_join(spark, SF)
     assert rows(got, "doc_id", "class_id", "n_links") == sorted(brute.near(documents), key=repr)
