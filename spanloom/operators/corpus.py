@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def merge_annotations(rows: DataFrame) -> DataFrame:
     """(id, text, tags) with the tags of all rows of an id; ids with different texts are left out, no tags give null."""
@@ -99,6 +101,32 @@ def mean_vectors(rows: DataFrame, by: str, vector: str = "v") -> DataFrame:
     return cell.select(by, "pos", "arithmetic", "harmonic", F.when(size > 0, F.col("direction") / size * F.col("norm")).otherwise(0.0).alias("chordal"))
 
 
+def spherical_means(rows: DataFrame, by: str, vector: str = "v", rounds: int = 10) -> DataFrame:
+    """(by, pos, x): the Karcher mean of the vectors' directions, from the mean direction on, times their mean length.
+
+    Each round is one aggregation by (by, pos), pre-aggregated before its shuffle; only a key's mean, of the vectors' length, is ever one row.
+    Vectors without a length have no direction and are left out; keys whose directions cancel out give nothing.
+    """
+    length = lambda v: F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
+    times = lambda v, f: F.transform(v, lambda x: x * f)
+    units = rows.withColumn("n__", length(vector)).where("n__ > 0").select(by, times(vector, F.try_divide(F.lit(1.0), F.col("n__"))).alias("u"), "n__")
+
+    def gathered(cells: DataFrame) -> DataFrame:
+        cells = cells.groupBy(by, "pos").agg(F.avg("x").alias("x"), F.first("m").alias("m"), F.avg("n__").alias("n"))
+        both = cells.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "x", "m"))).alias("a"), F.max("n").alias("n"))
+        return both.select(by, F.col("a.x").alias("x"), F.col("a.m").alias("m"), "n")
+
+    mean = gathered(units.select(by, F.posexplode("u").alias("pos", "x"), F.lit(0.0).alias("m"), "n__")).where(length("x") > 1e-12).select(by, times("x", F.try_divide(F.lit(1.0), length("x"))).alias("m"), "n")
+    for _ in range(rounds):
+        near = units.join(mean.select(by, "m"), by).withColumn("c", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), T.dot(F.col("m"), F.col("u")))))
+        away = near.withColumn("away", F.zip_with("u", "m", lambda x, y: x - F.col("c") * y)).withColumn("far", length("away"))
+        logs = times("away", F.when((F.col("far") >= 1e-12) & (F.acos("c") >= 1e-7), F.acos("c") / F.col("far")).otherwise(0.0))
+        moved = gathered(away.select(by, F.posexplode(F.arrays_zip(logs.alias("x"), F.col("m"))).alias("pos", "p"), "n__").select(by, "pos", "p.x", "p.m", "n__"))
+        step = moved.withColumn("l", length("x")).withColumn("x", F.zip_with("x", "m", lambda x, y: F.cos("l") * y + F.when(F.col("l") > 0, F.sin("l") / F.col("l") * x).otherwise(0.0)))
+        mean = step.select(by, times("x", F.try_divide(F.lit(1.0), length("x"))).alias("m"), "n")
+    return mean.select(by, F.posexplode(times("m", F.col("n"))).alias("pos", "x"))
+
+
 def group_folds(rows: DataFrame, gid: str, k: int, seed: int = 42) -> DataFrame:
     """Rows with a fold by a seeded hash of their group; a group is never split."""
     return rows.withColumn("fold", F.pmod(F.conv(F.substring(F.md5(F.concat(F.col(gid).cast("string"), F.lit(f"-{seed}"))), 1, 7), 16, 10).cast("long"), F.lit(k)).cast("int"))

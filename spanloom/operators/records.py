@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,35 @@ def split_roles(rows: DataFrame, name: str, first: Column) -> DataFrame:
     """(name, role) of the distinct names: `train` for the first batch, `test` and `validation` (the same names) for the other."""
     roles = F.when(first, F.array(F.lit("train"))).otherwise(F.array(F.lit("test"), F.lit("validation")))
     return rows.select(name, F.explode(roles).alias("role")).distinct()
+
+
+def without_listed(rows: DataFrame, listed: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is not listed; a null key is never listed."""
+    return rows.join(listed.select(on).distinct(), on, "left_anti")
+
+
+def class_of(rows: DataFrame, key: str, classes: dict[str, list[str]]) -> DataFrame:
+    """One row for each class that the key stands for; keys without a class go."""
+    known = F.create_map(*[x for k, v in classes.items() for x in (F.lit(k), F.lit(v))])
+    return rows.withColumn("class", F.explode(F.try_element_at(known, F.col(key))))
+
+
+def paired(left: DataFrame, right: DataFrame, left_col: str, right_col: str) -> DataFrame:
+    """(place, left_col, right_col) of two short lists of names by their sorted places; lists of different length are an error.
+
+    Folds and models are few, so one task numbers them.
+    """
+    number = lambda rows, c: rows.select(c, F.row_number().over(Window.orderBy(c)).alias("place"))
+    both = number(left, left_col).join(number(right, right_col), "place", "full")
+    whole = F.col(left_col).isNotNull() & F.col(right_col).isNotNull()
+    return both.select("place", F.when(whole, F.col(left_col)).otherwise(F.raise_error(F.lit("the lists differ in length"))).alias(left_col), right_col)
+
+
+def benchmark_report(runs: DataFrame, target: float = 1e7) -> DataFrame:
+    """One row from (method, items, seconds, memory, matches): the fastest, the leanest and the best method, and the hours that the fastest needs for `target` items."""
+    rate = F.col("seconds") / F.col("items")
+    key = lambda c: F.struct(c, F.col("method"))
+    return runs.agg(
+        F.min(key(F.col("seconds")))["method"].alias("fastest"), F.min(key(-F.col("matches")))["method"].alias("most_matches"),
+        F.min(key(F.col("memory")))["method"].alias("lowest_memory"), (F.min_by(rate, key(F.col("seconds"))) * target / 3600).alias("hours_at_target"),
+    )

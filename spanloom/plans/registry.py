@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, numeric
 from ..functions import text as T
-from ..operators import corpus, link, records, score, spans
+from ..operators import chunks, corpus, link, records, score, spans
 from .inputs import GOLD_SQL, PRED_SQL, TAGS_SQL, TOKENS_SQL, gold, pred, table, token_rows, turn_tags
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -785,6 +785,210 @@ def word_tags(spark, sf_dir):
     return spans.word_tags(tagged, ["conv_id", "turn", "pos"])
 
 
+# Chunks along lines and around spans; tags by head, by vocabulary and by piece
+
+SPLIT = 48
+CUTS = {"p": r"regexp_matches(word, '^[^\n]*\n\n')", "l": r"regexp_matches(regexp_replace(word, '\n\n+', '', 'g'), '^[^\n]*\n[^\n]*$')", "s": "regexp_matches(word, '^[.!?]')"}
+
+
+def _level_sql(name: str, source: str, by: str) -> str:
+    """Adds the number of cuts before a token, within pieces that are too long, and whether the new piece is."""
+    cut = f"CASE WHEN long THEN coalesce(sum(CASE WHEN {CUTS[name]} THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 0 END"
+    return f"c{name} AS (SELECT * EXCLUDE (long), count(*) OVER (PARTITION BY {by}, {name}) > {SPLIT} AS long FROM (SELECT *, {cut} AS {name} FROM {source}))"
+
+
+@query(rf"""WITH RECURSIVE k AS (SELECT doc_id, i - 1 AS pos, w[i] AS word, TRUE AS long FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{chunks.TOKEN}') AS w FROM documents))),
+{_level_sql("p", "k", "doc_id")}, {_level_sql("l", "cp", "doc_id, p")}, {_level_sql("s", "cl", "doc_id, p, l")},
+x AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS i, n FROM (SELECT doc_id, min(pos) AS start, count(*) AS n FROM cs GROUP BY doc_id, p, l, s, CASE WHEN long THEN pos ELSE -1 END)),
+r AS (SELECT doc_id, i, 0 AS chunk, n FROM x WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.i, CASE WHEN r.n + x.n <= {SPLIT} THEN chunk ELSE chunk + 1 END, CASE WHEN r.n + x.n <= {SPLIT} THEN r.n + x.n ELSE x.n END FROM r JOIN x ON x.doc_id = r.doc_id AND x.i = r.i + 1),
+c AS (SELECT doc_id, chunk, max(n) AS size FROM r GROUP BY doc_id, chunk), t AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY chunk) - size AS start FROM c)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(start AS INTEGER) AS start, CAST(size AS INTEGER) AS size FROM t WHERE size >= 8""")
+def paragraph_chunks(spark, sf_dir):
+    """Documents cut at blank lines, lines, sentences and words as far as needed, and put together up to 48 tokens; chunks under 8 go."""
+    tokens = chunks.line_tokens(table(spark, sf_dir, "documents"), "doc_id")
+    return chunks.paragraph_chunks(tokens, "doc_id", SPLIT).select("doc_id", "chunk", "start", "size")
+
+
+#: Two tags a turn, as in `_multilabelled`.
+TWO_SQL = f"SELECT *, 1 AS ord FROM ({TAGS_SQL}) UNION ALL SELECT conv_id, turn, 'EVEN', CAST(conv_id % 15 AS INTEGER), CAST(conv_id % 15 + 20 AS INTEGER), 2 FROM conversations WHERE conv_id % 2 = 0"
+HITS = f"""k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY conv_id, turn) AS n FROM ({TOKENS_SQL})), g AS ({TWO_SQL}),
+h AS (SELECT conv_id, turn, k.pos, k.i, g.ord, g.label, CASE WHEN k.pos = min(k.pos) OVER (PARTITION BY conv_id, turn, g.ord) THEN 'B' ELSE 'I' END AS part FROM k JOIN g USING (conv_id, turn) WHERE k."end" > g.s AND k.start < g.e)"""
+
+
+def _two_tags(spark, sf_dir):
+    start = (F.col("conv_id") % 15).cast("int")
+    two = table(spark, sf_dir, "conversations").where("conv_id % 2 = 0").select("conv_id", "turn", F.lit("EVEN").alias("label"), start.alias("start"), (start + 20).alias("end"), F.lit(2).alias("ord"))
+    return turn_tags(spark, sf_dir).unionByName(two)
+
+
+@query(f"""WITH {HITS}, inner_ AS (SELECT DISTINCT conv_id, turn, i FROM h WHERE part = 'I'), clear AS (SELECT conv_id, turn, i FROM k ANTI JOIN inner_ USING (conv_id, turn, i)),
+f AS (SELECT conv_id, turn, g.ord, g.label, max(k.n) AS n, min(k.i) FILTER (k."end" > g.s) AS first, coalesce(min(k.i) FILTER (k.start >= g.e), max(k.n)) AS after FROM g JOIN k USING (conv_id, turn) GROUP BY conv_id, turn, g.ord, g.label),
+b AS (SELECT *, greatest(first - 3, 0) AS l, least(after + 3, n) AS r FROM f WHERE first IS NOT NULL),
+a AS (SELECT b.*, coalesce((SELECT max(c.i) FROM clear c WHERE c.conv_id = b.conv_id AND c.turn = b.turn AND c.i <= b.l), 0) AS cl, coalesce((SELECT min(c.i) FROM clear c WHERE c.conv_id = b.conv_id AND c.turn = b.turn AND c.i >= b.r - 1) + 1, n) AS cr FROM b),
+d AS (SELECT *, least(l, greatest(cl, r - 12)) AS start FROM a)
+SELECT conv_id, turn, label, CAST(start AS INTEGER) AS start, CAST(least(n, cr, greatest(r, start + 12), start + 12) AS INTEGER) AS stop FROM d""")
+def widened_chunks(spark, sf_dir):
+    """Six tokens more around each of two tags a turn, moved out of entities, up to twelve."""
+    t = _multilabelled(spark, sf_dir).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "tags"))).alias("t"))
+    inside = F.transform("t", lambda x: F.exists(x["tags"], lambda y: F.startswith(y, F.lit("I-"))))
+    rows = _two_tags(spark, sf_dir).join(t.withColumn("inside", inside), ["conv_id", "turn"])
+    rows = rows.withColumn("at", chunks.token_range(F.col("t"), F.col("start"), F.col("end"))).where("at IS NOT NULL")
+    return rows.select("conv_id", "turn", "label", chunks.widened_chunk(F.col("inside"), F.col("at.first"), F.col("at.after"), 6).alias("c")).select("conv_id", "turn", "label", "c.*")
+
+
+@query(f"""WITH {HITS}, o AS (SELECT conv_id, turn, pos, label, max_by(part, ord) AS tag FROM h GROUP BY conv_id, turn, pos, label)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, string_agg(coalesce(o.tag, 'O'), '|' ORDER BY y.label) AS heads FROM (SELECT * FROM k, (SELECT unnest(['EVEN', 'USER']) AS label)) y LEFT JOIN o USING (conv_id, turn, pos, label) GROUP BY conv_id, turn, pos""")
+def head_labels(spark, sf_dir):
+    """One B, I or O for each of two types; a third type is ignored."""
+    types = ["EVEN", "USER"]
+    rows = chunks.head_tags(token_rows(spark, sf_dir), _two_tags(spark, sf_dir), ["conv_id", "turn"], types)
+    return rows.select("conv_id", "turn", "pos", F.array_join(F.transform(F.lit(types), lambda t: F.try_element_at("heads", t)), "|").alias("heads"))
+
+
+@query(f"""WITH {HITS}, a AS (SELECT conv_id, turn, pos, list(concat(part, '-', label)) AS tags FROM h GROUP BY conv_id, turn, pos), v AS (SELECT ['O', 'B-USER', 'I-USER', 'B-EVEN', 'I-EVEN'] AS v)
+SELECT k.conv_id, k.turn, CAST(k.pos AS INTEGER) AS pos, array_to_string(list_transform(v, lambda x: CASE WHEN x = 'O' THEN CAST(NOT list_has_any(coalesce(tags, []), v) AS INTEGER) ELSE CAST(list_contains(coalesce(tags, []), x) AS INTEGER) END), '') AS bits
+FROM k CROSS JOIN v LEFT JOIN a USING (conv_id, turn, pos)""")
+def one_hot_labels(spark, sf_dir):
+    bits = chunks.one_hot(F.col("tags"), ["O", "B-USER", "I-USER", "B-EVEN", "I-EVEN"])
+    return _multilabelled(spark, sf_dir).select("conv_id", "turn", "pos", F.array_join(bits.cast("array<string>"), "").alias("bits"))
+
+
+@query(f"""WITH {LABELLED}, l AS (SELECT conv_id, turn, list(tag ORDER BY pos) AS l FROM t GROUP BY conv_id, turn)
+SELECT conv_id, turn, array_to_string(list_resize(l, 24, 'PAD'), ' ') AS tags, CAST(least(len(l), 24) AS INTEGER) AS kept FROM l""")
+def padded_tags(spark, sf_dir):
+    """Tags of turns cut or filled up to 24, with the sum of the mask."""
+    rows = _labelled(spark, sf_dir).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "tag")))["tag"].alias("l"))
+    tags, mask = chunks.pad(F.col("l"), 24, F.lit("PAD"))
+    return rows.select("conv_id", "turn", F.array_join(tags, " ").alias("tags"), F.aggregate(mask, F.lit(0), lambda s, x: s + x).alias("kept"))
+
+
+@query(rf"""WITH g AS (SELECT conv_id, turn, label, s, substring(text, s + 1, e - s) AS x FROM ({TAGS_SQL}) JOIN conversations USING (conv_id, turn)),
+p AS (SELECT *, length(regexp_extract(x, '^{chunks.SPACE}*')) AS lead, regexp_extract(x, '^[\x20\x09-\x0D]*([^\x20\x09-\x0D]*)', 1) AS head, length(regexp_extract(x, '^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]+')) AS skip FROM g),
+u AS (SELECT conv_id, turn, concat('B-', label) AS tag, s + lead AS start, head AS piece FROM p UNION ALL SELECT conv_id, turn, concat('I-', label), s + skip, substring(x, skip + 1) FROM p WHERE skip > 0)
+SELECT conv_id, turn, tag, CAST(start AS INTEGER) AS start, CAST(start + length(piece) AS INTEGER) AS "end", piece FROM u WHERE piece <> ''""")
+def span_pieces(spark, sf_dir):
+    """Spans as a piece for the first word and one for the rest."""
+    rows = turn_tags(spark, sf_dir).join(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    pieces = chunks.first_and_rest(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")), F.col("start"), F.col("label"))
+    return rows.select("conv_id", "turn", F.explode(pieces).alias("p")).select("conv_id", "turn", "p.tag", "p.start", "p.end", F.col("p.text").alias("piece"))
+
+
+@query(f"""WITH {PIECES} SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, round(min_by(o, sub), 6) AS first, round(max_by(o, sub), 6) AS last, round(avg(o), 6) AS mean FROM o GROUP BY conv_id, turn, pos""")
+def word_scores(spark, sf_dir):
+    """Scores of words from those of their pieces, in three ways."""
+    rows = token_rows(spark, sf_dir).withColumn("sub", F.explode(F.sequence(F.lit(0), F.floor(F.char_length("word") / 5).cast("int"))))
+    rows = rows.withColumn("o", T.small_hash(F.concat_ws("-", "conv_id", "turn", "pos", "sub")) % 100 / 100)
+    keys, ways = ["conv_id", "turn", "pos"], ("first", "last", "mean")
+    rows = rows.withColumns({w: F.col("o") for w in ways})
+    both = [chunks.word_scores(rows, keys, [w], w).withColumn(w, F.round(w, 6)) for w in ways]
+    return both[0].join(both[1], keys).join(both[2], keys)
+
+
+MOVES, STARTS, ENDS = [[0.1, 0.2, kernels.FORBIDDEN], [0.3, 0.05, 0.4], [0.2, 0.1, 0.3]], [0.2, 0.1, kernels.FORBIDDEN], [0.05, 0.0, 0.1]
+
+
+@query(f"""WITH RECURSIVE {LABELLED}, n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS i, CASE WHEN tag[1] = 'O' THEN 0 WHEN tag[1] = 'B' THEN 1 ELSE 2 END AS t, [length(word) % 3 / 10, length(word) % 5 / 10, length(word) % 7 / 10] AS e FROM t),
+r AS (SELECT conv_id, turn, i, t, e[1] + 0.2 AS x, e[2] + 0.1 AS y, e[3] - 1e9 AS z, e[t + 1] + {STARTS}[t + 1] AS path FROM n WHERE i = 1
+  UNION ALL SELECT n.conv_id, n.turn, n.i, n.t, ln(exp(x + 0.1) + exp(y + 0.3) + exp(z + 0.2)) + e[1], ln(exp(x + 0.2) + exp(y + 0.05) + exp(z + 0.1)) + e[2], ln(exp(x - 1e9) + exp(y + 0.4) + exp(z + 0.3)) + e[3], path + {MOVES}[r.t + 1][n.t + 1] + e[n.t + 1]
+  FROM r JOIN n ON n.conv_id = r.conv_id AND n.turn = r.turn AND n.i = r.i + 1)
+SELECT conv_id, turn, round(path + {ENDS}[t + 1], 6) AS path, round(ln(exp(x + 0.05) + exp(y) + exp(z + 0.1)), 6) AS normaliser FROM (SELECT *, max(i) OVER (PARTITION BY conv_id, turn) AS last FROM r) WHERE i = last""")
+def chain_scores(spark, sf_dir):
+    """The score of the labels of turns in a linear chain, and the logarithm of the sum over all paths."""
+    e = F.array(*[(F.char_length("word") % k).cast("double") / 10 for k in (3, 5, 7)])
+    number = F.when(F.col("tag") == "O", 0).when(F.startswith("tag", F.lit("B")), 1).otherwise(2)
+    rows = _labelled(spark, sf_dir).withColumns({"e": e, "t": number}).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("pos", "e", "t"))).alias("a"))
+    path = numeric.chain_score(F.col("a.e"), F.col("a.t"), MOVES, STARTS, ENDS)
+    return rows.select("conv_id", "turn", F.round(path, 6).alias("path"), F.round(numeric.chain_normaliser(F.col("a.e"), MOVES, STARTS, ENDS), 6).alias("normaliser"))
+
+
+@query(f"""WITH d AS (SELECT concat(conv_id, '-', turn) AS filename, conv_id, turn, label, s, e FROM ({TAGS_SQL})), k AS ({TOKENS_SQL}),
+x AS (SELECT filename, label, min(k.start) AS start, max(k."end") AS "end" FROM d JOIN k USING (conv_id, turn) WHERE k."end" > d.s AND k.start < d.e GROUP BY filename, label),
+y AS (SELECT filename, label, min(k.start) AS start, max(k."end") AS "end" FROM d JOIN k USING (conv_id, turn) WHERE k."end" > d.s + 3 * (conv_id % 2) AND k.start < d.e + 3 * (conv_id % 2) GROUP BY filename, label),
+b AS (SELECT coalesce(x.label, y.label) AS label, CAST(x.label IS NOT NULL AS INTEGER) AS g, CAST(y.label IS NOT NULL AS INTEGER) AS p FROM x FULL JOIN y ON x.filename = y.filename AND x.label = y.label AND x.start = y.start AND x."end" = y."end"),
+c AS (SELECT label, CAST(sum(g * p) AS BIGINT) AS tp, CAST(sum(p) AS BIGINT) AS np, CAST(sum(g) AS BIGINT) AS ng FROM b GROUP BY label),
+{REPORT}""")
+def entity_level_scores(spark, sf_dir):
+    """Labels of true and shifted tags, decoded to entities and scored by these."""
+    key, by = ["conv_id", "turn"], 3 * (F.col("conv_id") % 2).cast("int")
+    moved = turn_tags(spark, sf_dir).withColumns({c: F.col(c) + by for c in ("start", "end")})
+    said = spans.label_tokens(token_rows(spark, sf_dir), moved, key)
+    sides = [spans.decode(t, key).select(F.concat_ws("-", *key).alias("filename"), "label", "start", "end", F.lit(0).alias("ord")) for t in (_labelled(spark, sf_dir), said)]
+    return score.strict(*sides).select("label", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+# Vectors and records
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1),
+w AS (SELECT *, acos(greatest(-1.0, least(1.0, list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))))) AS w FROM p),
+m AS (SELECT vec_id, list_transform(range(1, len(a) + 1), lambda i: sin(0.75 * w) / sin(w) * a[i] + sin(0.25 * w) / sin(w) * b[i]) AS m FROM w)
+SELECT vec_id, round(m[1], 6) AS first, round(m[len(m)], 6) AS last, round(sqrt(list_dot_product(m, m)), 6) AS length FROM m""")
+def slerp_neighbours(spark, sf_dir):
+    """A quarter of the way along the arc from each vector to the next."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    rows = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").select("vec_id", numeric.slerp(F.col("a"), F.col("b"), 0.25).alias("m"))
+    return rows.select("vec_id", F.round(F.get("m", 0), 6).alias("first"), F.round(F.element_at("m", -1), 6).alias("last"), F.round(F.sqrt(T.dot(F.col("m"), F.col("m"))), 6).alias("length"))
+
+
+def _round_sql(i: int) -> str:
+    """One step of the Karcher mean: from the directions m{i - 1} by label to m{i}."""
+    return f"""l{i} AS (SELECT label, u, m, list_dot_product(m, u) AS c FROM u JOIN m{i - 1} USING (label)),
+a{i} AS (SELECT label, m, list_transform(range(1, len(u) + 1), lambda i: u[i] - c * m[i]) AS a, acos(greatest(-1.0, least(1.0, c))) AS w FROM l{i}),
+b{i} AS (SELECT label, i, avg(x) AS x, first(y) AS y FROM (SELECT label, unnest(range(1, len(a) + 1)) AS i, unnest(list_transform(a, lambda x: x * w / sqrt(list_dot_product(a, a)))) AS x, unnest(m) AS y FROM a{i}) GROUP BY label, i),
+d{i} AS (SELECT label, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y FROM b{i} GROUP BY label),
+m{i} AS (SELECT label, list_transform(range(1, len(x) + 1), lambda i: cos(n) * y[i] + sin(n) / n * x[i]) AS m FROM (SELECT *, sqrt(list_dot_product(x, x)) AS n FROM d{i}))"""
+
+
+@query(f"""WITH v AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT label, sqrt(list_dot_product(v, v)) AS n, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v),
+s0 AS (SELECT label, list(x ORDER BY i) AS s FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(range(1, len(u) + 1)) AS i, unnest(u) AS x FROM u) GROUP BY label, i) GROUP BY label),
+m0 AS (SELECT label, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS m FROM s0), {", ".join(_round_sql(i) for i in (1, 2, 3))}, r AS (SELECT label, avg(n) AS n FROM u GROUP BY label)
+SELECT label, CAST(unnest(range(0, len(m))) AS INTEGER) AS pos, round(unnest(m) * n, 5) AS x FROM m3 JOIN r USING (label)""")
+def centroid_karcher(spark, sf_dir):
+    """Three rounds of the mean on the sphere."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return corpus.spherical_means(rows, "label", rounds=3).withColumn("x", F.round("x", 5))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
+def unlisted_rows(spark, sf_dir):
+    listed = table(spark, sf_dir, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
+    return records.without_listed(table(spark, sf_dir, "orders"), listed, "o_custkey").select("o_orderkey")
+
+
+@query("""SELECT o_orderkey, unnest(CASE o_orderpriority WHEN '1-URGENT' THEN ['fast', 'paid'] WHEN '2-HIGH' THEN ['fast'] WHEN '5-LOW' THEN ['slow'] ELSE [] END) AS class FROM orders""")
+def classes_of_keys(spark, sf_dir):
+    """Some priorities stand for two classes, some for none."""
+    known = {"1-URGENT": ["fast", "paid"], "2-HIGH": ["fast"], "5-LOW": ["slow"]}
+    return records.class_of(table(spark, sf_dir, "orders"), "o_orderpriority", known).select("o_orderkey", "class")
+
+
+@query("""WITH a AS (SELECT r_name AS model, row_number() OVER (ORDER BY r_name) AS place FROM region), b AS (SELECT p AS fold, row_number() OVER (ORDER BY p) AS place FROM (SELECT DISTINCT o_orderpriority AS p FROM orders))
+SELECT CAST(place AS INTEGER) AS place, model, fold FROM a JOIN b USING (place)""")
+def fold_pairs(spark, sf_dir):
+    """Names of both sides by their sorted places."""
+    folds = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("fold")).distinct()
+    return records.paired(table(spark, sf_dir, "region").select(F.col("r_name").alias("model")), folds, "model", "fold")
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS method, count(*) AS items, sum(o_custkey) / 100 AS seconds, max(o_totalprice) AS memory, sum(o_orderkey) AS matches FROM orders GROUP BY 1)
+SELECT min_by(method, seconds) AS fastest, max_by(method, matches) AS most_matches, min_by(method, memory) AS lowest_memory, round(min_by(seconds / items, seconds) * 1e7 / 3600, 6) AS hours_at_target FROM r""")
+def benchmark_summary(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("method")).agg(F.count(F.lit(1)).alias("items"), (F.sum("o_custkey") / 100).alias("seconds"), F.max("o_totalprice").alias("memory"), F.sum("o_orderkey").alias("matches"))
+    return records.benchmark_report(runs).withColumn("hours_at_target", F.round("hours_at_target", 6))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20")
+def top_matches(spark, sf_dir):
+    """The twenty highest: a report."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber").limit(20)
+
+
+@query("SELECT source, count(*) AS files, CAST(sum(CAST(n_chars AS BIGINT) * 1024) AS DOUBLE) AS bytes FROM documents GROUP BY source")
+def size_totals(spark, sf_dir):
+    size = T.byte_size(F.concat(F.col("n_chars").cast("string"), F.lit("K")))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: documents linked to one another by leading sentences."""
     return self_link(spark, "/root/testdata/sf0.001")
