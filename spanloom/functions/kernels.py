@@ -92,6 +92,35 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def best_fuzzy(known: list[tuple[int, str]], threshold: float):
+    """A function from texts to (place, ratio) of the most similar of the known texts, ties to the first; null under the threshold.
+
+    What two texts have in common is at most what their letters have, so candidates are compared in the order of that bound until none can win.
+    """
+    bins = 64
+    counts = lambda x: np.bincount(np.fromiter(map(ord, x), np.int64, len(x)) % bins, minlength=bins)
+    table = np.array([counts(t) for _, t in known]).reshape(len(known), bins)
+    lengths = np.array([len(t) for _, t in known])
+
+    @F.pandas_udf(StructType().add("place", IntegerType()).add("ratio", DoubleType()))
+    def best(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in texts:
+            top, place = 0.0, None
+            if x and len(known):
+                bound = 2 * np.minimum(table, counts(x)).sum(1) / (lengths + len(x))
+                for i in np.argsort(-bound, kind="stable"):
+                    if bound[i] < threshold or bound[i] < top:
+                        break
+                    ratio = difflib.SequenceMatcher(None, x, known[i][1]).ratio()
+                    if ratio >= threshold and (ratio > top or (ratio == top and i < place)):
+                        top, place = ratio, int(i)
+            out.append((place, top if place is not None else None))
+        return pd.DataFrame(out, columns=["place", "ratio"]).astype({"place": "Int32"})
+
+    return best
+
+
 def minhash_slots(slots: int):
     """For mapInPandas: (key, hashes) to (key, sig) with signatures as `text.minhash` makes them; in blocks of hashes, so that a long text takes no more memory."""
     i = np.arange(slots, dtype=np.int64)[:, None]

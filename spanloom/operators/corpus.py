@@ -14,6 +14,27 @@ def merge_annotations(rows: DataFrame) -> DataFrame:
     return merged.where("n = 1").select("id", "text", F.when(F.size("tags") > 0, F.col("tags")).alias("tags"))
 
 
+#: Spanish names of entity types and their English ones: fixed values.
+TYPES = {"ENFERMEDAD": "DISEASE", "FARMACO": "MEDICATION", "SINTOMA": "SYMPTOM", "PROCEDIMIENTO": "PROCEDURE"}
+
+
+def renamed_type(tag: Column, names: dict[str, str] = TYPES) -> Column:
+    """A type by its other name, if it has one."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, tag), tag)
+
+
+def collect_annotations(rows: DataFrame, drop: list[str], names: dict[str, str] = TYPES, same_text: bool = False) -> DataFrame:
+    """(id, text, tags) of (id, text, tags) rows by cleaned id, types renamed, each (tag, start, end) once.
+
+    The smallest text stands for an id; with `same_text`, ids with different texts are left out.
+    """
+    clean = rows.withColumn("id", T.clean_id(F.col("id"), drop))
+    one = clean.select("id", "text", F.explode_outer("tags").alias("t")).select("id", "text", F.when(F.col("t").isNotNull(), F.struct(F.col("t.start"), F.col("t.end"), renamed_type(F.col("t.tag"), names).alias("tag"))).alias("t"))
+    merged = one.groupBy("id").agg(F.min("text").alias("text"), F.max("text").alias("last"), F.array_sort(F.collect_set("t")).alias("tags"))
+    return (merged.where("text = last") if same_text else merged).select("id", "text", "tags")
+
+
 def inspect(spans: DataFrame, by: list[str]) -> DataFrame:
     """Number, mean and median length of spans."""
     size = F.col("end") - F.col("start")

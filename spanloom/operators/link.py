@@ -102,6 +102,23 @@ def levenshtein_link(left: DataFrame, right: DataFrame, most: int = 10, earlier:
     return left.select("id").join(best, "id", "left").select("id", F.col("m.rid").alias("match_id"), F.col("m.d").alias("distance"), F.col("m").isNotNull().alias("matched"))
 
 
+def fuzzy_link(left: DataFrame, right: DataFrame, n: int = 2, sample: int = 1000, threshold: float = 0.8) -> DataFrame:
+    """Sides (id, text): the match of an equal one of the n leading sentences, else of the most similar of the first `sample` different sentences on the right.
+
+    Of an id's sentences the earliest that has a match at or over the threshold decides. Those first sentences, by id and place, are the
+    method's own sample: they come to the driver and go to all workers, so their number is the bound. Gives (id, match_id, similarity, kind).
+    """
+    a, b = ((side.select("id", F.posexplode(T.leading_sentences(F.col("text"), n)).alias("pos", "s")).withColumn("norm", T.normalise(F.col("s"))).where("norm <> ''")) for side in (left, right))
+    hashed = [x.select("id", "pos", F.md5("norm").alias("hash")) for x in (a, b)]
+    exact = exact_link(*hashed).select("id", "match_id", "similarity", F.lit("exact").alias("kind"))
+    firsts = b.groupBy("norm").agg(F.min(F.struct("id", "pos")).alias("at")).orderBy("at").limit(sample).collect()
+    best = kernels.best_fuzzy([(r["at"]["id"], r["norm"]) for r in firsts], threshold)
+    rest = a.join(exact.select("id"), "id", "left_anti").withColumn("m", best("norm")).where("m.place IS NOT NULL")
+    rest = rest.groupBy("id").agg(F.min_by("m", "pos").alias("m"))
+    ids = F.lit([r["at"]["id"] for r in firsts]) if firsts else F.array().cast("array<long>")
+    return exact.unionByName(rest.select("id", F.get(ids, F.col("m.place")).alias("match_id"), F.col("m.ratio").alias("similarity"), F.lit("fuzzy").alias("kind")))
+
+
 def cascade(stages: list[tuple[str, Callable[[DataFrame], DataFrame]]], left: DataFrame) -> DataFrame:
     """One row per left id: the match of the first stage that has one; unmatched ids stay with nulls.
 

@@ -69,6 +69,15 @@ def decode(tagged: DataFrame, key: list[str]) -> DataFrame:
     return one.where("tag <> 'O'").groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.substring(F.min("tag"), 3, 1000).alias("label"), F.count(F.lit(1)).alias("n_tokens")).drop("island")
 
 
+def decode_heads(tagged: DataFrame, key: list[str]) -> DataFrame:
+    """Entities (key, head, start, end) of each head's B, I and O by token: B begins one, I goes on with one that has begun, O ends it; an I after O is none."""
+    w = Window.partitionBy(*key, "head").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.substring("tag", 1, 1)
+    rows = tagged.withColumn("n__", F.sum((part != "I").cast("int")).over(w))
+    found = rows.groupBy(*key, "head", "n__").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max((part == "B").cast("int")).alias("b"))
+    return found.where("b = 1").select(*key, "head", "start", "end")
+
+
 def entity_scores(entities: Column, threshold: float, least: float = 0.1) -> Column:
     """Whether token scores keep an entity: median at or over the threshold and every one over `least`."""
     n = F.size(entities)

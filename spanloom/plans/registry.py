@@ -989,6 +989,41 @@ def size_totals(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"))
 
 
+@query()
+def fuzzy_link(spark, sf_dir):
+    """Benchmark items and the documents with an equal leading sentence, or else one like it among the first thousand sentences."""
+    left, right = (table(spark, sf_dir, t).select(F.col(c).alias("id"), "text") for t, c in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return link.fuzzy_link(left, right).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH k AS ({TOKENS_SQL}), z AS (SELECT conv_id, turn, pos, start, "end", {PLACE} AS h FROM k),
+t AS (SELECT * EXCLUDE (h), 'X' AS head, ['O', 'B', 'I', 'I'][h % 4 + 1] AS tag FROM z UNION ALL SELECT * EXCLUDE (h), 'Y', ['O', 'O', 'B', 'I', 'I'][h // 4 % 5 + 1] FROM z),
+g AS (SELECT *, sum(CASE WHEN tag = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn, head ORDER BY pos) AS n FROM t)
+SELECT conv_id, turn, head, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end" FROM g GROUP BY conv_id, turn, head, n HAVING bool_or(tag = 'B')""")
+def head_entities(spark, sf_dir):
+    """Entities of two heads whose tags a hash gives, every order among them."""
+    h = T.small_hash(F.concat_ws("-", "conv_id", "turn", "pos"))
+    pick = lambda tags, at: F.get(F.lit(tags), at.cast("int"))
+    one, two = pick(["O", "B", "I", "I"], F.col("h") % 4), pick(["O", "O", "B", "I", "I"], F.floor(F.col("h") / 4) % 5)
+    rows = token_rows(spark, sf_dir).withColumn("h", h).withColumn("t", F.explode(F.array(F.struct(F.lit("X").alias("head"), one.alias("tag")), F.struct(F.lit("Y").alias("head"), two.alias("tag")))))
+    return spans.decode_heads(rows.select("conv_id", "turn", "pos", "start", "end", "t.head", "t.tag"), ["conv_id", "turn"])
+
+
+@query("""WITH r AS (SELECT concat('case--', l_orderkey // 3, 'x') AS id, CASE WHEN l_orderkey % 50 = 0 THEN 'other' ELSE concat('text ', l_orderkey // 3) END AS text, CAST(l_linenumber % 3 AS INTEGER) AS s, CASE l_returnflag WHEN 'A' THEN 'ENFERMEDAD' WHEN 'N' THEN 'DISEASE' ELSE 'FARMACO' END AS tag FROM lineitem),
+c AS (SELECT replace(replace(id, 'case', ''), '--', '-') AS id, text, s, CASE tag WHEN 'ENFERMEDAD' THEN 'DISEASE' WHEN 'FARMACO' THEN 'MEDICATION' ELSE tag END AS tag FROM r),
+k AS (SELECT id, min(text) AS text FROM c GROUP BY id HAVING count(DISTINCT text) = 1), d AS (SELECT DISTINCT id, s, tag FROM c)
+SELECT id, text, string_agg(concat(s, ':', s + 2, ':', tag), ' ' ORDER BY s, tag) AS tags FROM k JOIN d USING (id) GROUP BY id, text""")
+def collected_annotations(spark, sf_dir):
+    """Tags of rows whose cleaned ids agree, types in English; ids with two texts are left out."""
+    key = F.floor(F.col("l_orderkey") / 3).cast("string")
+    start = (F.col("l_linenumber") % 3).cast("int")
+    tag = F.when(F.col("l_returnflag") == "A", "ENFERMEDAD").when(F.col("l_returnflag") == "N", "DISEASE").otherwise("FARMACO")
+    text = F.when(F.col("l_orderkey") % 50 == 0, "other").otherwise(F.concat(F.lit("text "), key))
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("case--"), key, F.lit("x")).alias("id"), text.alias("text"), F.array(F.struct(start.alias("start"), (start + 2).alias("end"), tag.alias("tag"))).alias("tags"))
+    out = corpus.collect_annotations(rows, ["case"], same_text=True)
+    return out.select("id", "text", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["start"].cast("string"), t["end"].cast("string"), t["tag"])), " ").alias("tags"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship: documents linked to one another by leading sentences."""
     return self_link(spark, "/root/testdata/sf0.001")

@@ -156,3 +156,44 @@ def encode_ids(pairs: DataFrame, id_col: str, ranges: int = 200) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("__range").orderBy(id_col)) - 1
     numbers = ids.join(F.broadcast(firsts), "__range").select(id_col, (F.col("__first") + place).alias("label"))  # a row a range
     return pairs.join(numbers, id_col)
+
+
+def text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text) of a CSV file with at least these columns, texts over several lines too; a missing column is an error, rows that lack either value are left out."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if missing := {"id", "text"} - set(rows.columns):
+        raise ValueError(f"{path} lacks {sorted(missing)}")
+    return rows.select("id", "text").where("id IS NOT NULL AND text IS NOT NULL")
+
+
+def predictions_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """filename, label, start_span, end_span (whole numbers), text and note of a table with a header; empty strings stay, a bad number fails the read."""
+    kinds = "filename string, label string, start_span int, end_span int, text string, note string"
+    rows = spark.read.schema(kinds).option("header", True).option("sep", "\t").option("quote", '"').option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+    return rows.fillna("", ["filename", "label", "text", "note"])
+
+
+#: Folders of the four classes in an annotated tree: fixed values.
+TREE_CLASSES = ("dis", "med", "symp", "proc")
+
+
+def span_tree(spark: SparkSession, root: str, lang: str, names: list[str] | None = None, checked: str = "1_validated_without_sugs", encoding: str = "UTF-8") -> DataFrame:
+    """Spans below root/batch/checked/lang/class/tsv with the texts of dis/txt: (batch, class, name, tag, start_span, end_span, span, text).
+
+    Of the given names only, if any are; spans without a text file are left out.
+    """
+    below = f"{root}/b*/{checked}/{lang}"
+    batch = F.regexp_extract("_metadata.file_path", rf"/(b[^/]*)/{checked}/", 1).alias("batch")
+    rows = spark.read.option("header", True).option("sep", "\t").option("quote", "").option("recursiveFileLookup", True).csv([f"{below}/{c}/tsv/*.tsv" for c in TREE_CLASSES])
+    rows = rows.select(batch, F.regexp_extract("_metadata.file_path", r"/([^/]+)/tsv/", 1).alias("class"), "name", "tag", F.col("start_span").cast("int").alias("start_span"), F.col("end_span").cast("int").alias("end_span"), F.coalesce("text", F.lit("")).alias("span"))
+    texts = spark.read.format("binaryFile").load(f"{below}/dis/txt/*.txt").select(batch.alias("batch"), F.regexp_extract("path", r"/([^/]+)\.txt$", 1).alias("name"), F.decode("content", encoding).alias("text"))
+    if names is not None:
+        texts = texts.where(F.col("name").isin(names))
+    return rows.join(texts, ["batch", "name"]).select("batch", "class", "name", "tag", "start_span", "end_span", "span", "text")
+
+
+def listed_ids(spark: SparkSession, path: str) -> DataFrame:
+    """The different ids of a `.txt` list, one a line, without `.txt` at the end; blank lines go."""
+    if not path.endswith(".txt"):
+        raise ValueError(f"{path} is no .txt file")
+    return spark.read.text(path).select(F.regexp_replace(F.trim("value"), r"\.txt$", "").alias("id")).where("id <> ''").distinct()

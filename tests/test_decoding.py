@@ -1,5 +1,6 @@
 """Decoding, tokens and scores on small cases and against plain Python."""
 
+import difflib
 import re
 
 import pytest
@@ -7,7 +8,7 @@ import regex
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import link, score, spans
+from spanloom.operators import corpus, link, score, spans
 
 TOKEN = "text string, tokens array<struct<tag:string,start:int,end:int,score:double>>"
 
@@ -84,3 +85,43 @@ def test_signatures_as_in_columns(spark):
     want = {tuple(r[0]) for r in df.select(T.minhash(sets, 5)).collect()}
     assert {tuple(r.sig) for r in link.signatures(df, 5).collect()} == want
     assert re.fullmatch("[0-9a-f]{32}", link.signatures(df, 5).first().key)
+
+
+def test_fuzzy_links(spark):
+    """Equal sentences first; else the most similar of the sample, by the earliest sentence that has one; as a plain search finds them."""
+    right = [(0, "The quick brown fox jumps. And rests"), (1, "A slow green turtle sleeps. And rests"), (2, "The quick brown fox jumped. Other"), (3, None), (4, "")]
+    left = [(10, "Nothing here. and rests"), (11, "The quick brown fax jumps. x"), (12, "the quick brown fox jumpe"), (13, "zzz. yyy"), (14, None), (15, "A slow green turtle slept")]
+    a, b = (spark.createDataFrame(x, "id long, text string") for x in (left, right))
+    sentences = lambda t: [s.strip().lower() for s in (t or "").split(".") if s.strip()][:2]
+    known = []
+    for i, t in right:
+        known += [(i, s) for s in sentences(t) if s not in [x for _, x in known]]
+    for sample in (1000, 2):
+        want = set()
+        for i, t in left:
+            hit = next((r for s in sentences(t) for r, k in known if k == s), None)
+            if hit is not None:
+                want.add((i, hit, 1.0, "exact"))
+                continue
+            for s in sentences(t):
+                score, _, r = max((difflib.SequenceMatcher(None, s, k).ratio(), -n, r) for n, (r, k) in enumerate(known[:sample]))
+                if score >= 0.8:
+                    want.add((i, r, score, "fuzzy"))
+                    break
+        assert {tuple(r) for r in link.fuzzy_link(a, b, sample=sample).collect()} == want
+    assert link.fuzzy_link(a, b.limit(0)).count() == 0 and link.fuzzy_link(a.limit(0), b).count() == 0
+
+
+def test_heads(spark):
+    tags = "OIBIIBOIB"
+    df = spark.createDataFrame([(1, "X", i, i * 2, i * 2 + 1, t) for i, t in enumerate(tags)], "id int, head string, pos int, start int, end int, tag string")
+    assert sorted((r.start, r.end) for r in spans.decode_heads(df, ["id"]).collect()) == [(4, 9), (10, 11), (16, 17)]
+
+
+def test_collected_annotations(spark):
+    tags = "array<struct<start:int,end:int,tag:string>>"
+    rows = [("case-a--1", "t", [(0, 1, "SINTOMA")]), ("a--1", "t", [(0, 1, "SYMPTOM"), (2, 3, "X")]), ("b", "u", []), ("c", "u", None), ("d", "u", [(0, 1, None)]), ("d", "v", [(0, 1, "X")])]
+    df = spark.createDataFrame(rows, f"id string, text string, tags {tags}")
+    found = lambda same: {r.id: (r.text, [tuple(t) for t in r.tags]) for r in corpus.collect_annotations(df, ["case-"], same_text=same).collect()}
+    assert found(True) == {"a-1": ("t", [(0, 1, "SYMPTOM"), (2, 3, "X")]), "b": ("u", []), "c": ("u", [])}
+    assert found(False)["d"] == ("u", [(0, 1, None), (0, 1, "X")])

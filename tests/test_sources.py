@@ -136,3 +136,38 @@ def test_more_writers(spark, tmp_path):
     lines = spark.createDataFrame([(i, f"l{i}") for i in range(5)], "line_num long, text string")
     writers.every_n_lines(lines, out, 2)
     assert rows(spark.read.text(out), "part", "value") == [(0, "l0"), (0, "l1"), (1, "l2"), (1, "l3"), (2, "l4")]
+
+
+def test_text_csv(spark, tmp_path):
+    path = put(tmp_path / "t.csv", 'id,text,more\n1,"a\nb ""c""",x\n2,,y\n,z,\n')
+    assert rows(readers.text_csv(spark, path)) == [("1", 'a\nb "c"')]
+    with pytest.raises(ValueError, match="lacks"):
+        readers.text_csv(spark, put(tmp_path / "u.csv", "id,body\n1,a\n"))
+
+
+def test_predictions_tsv(spark, tmp_path):
+    head = "filename\tlabel\tstart_span\tend_span\ttext\tnote\n"
+    path = put(tmp_path / "p.tsv", head + "d\tDIS\t0\t4\tpijn\t\n")
+    assert rows(readers.predictions_tsv(spark, path)) == [("d", "DIS", 0, 4, "pijn", "")]
+    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
+        readers.predictions_tsv(spark, put(tmp_path / "q.tsv", head + "d\tDIS\tx\t4\tpijn\t\n")).collect()
+
+
+def test_span_tree(spark, tmp_path):
+    head = "name\ttag\tstart_span\tend_span\ttext\n"
+    for batch, name in (("b1", "one"), ("b2", "two")):
+        for kind in readers.TREE_CLASSES:
+            folder = tmp_path / batch / "1_validated_without_sugs" / "nl" / kind
+            (folder / "tsv").mkdir(parents=True)
+            put(folder / "tsv" / "a.tsv", head + f"{name}\t{kind.upper()}\t0\t3\tabc\nlost\tX\t0\t1\tq\n")
+        (folder.parent / "dis" / "txt").mkdir()
+        put(folder.parent / "dis" / "txt" / f"{name}.txt", f"abc é {name}")
+    got = rows(readers.span_tree(spark, str(tmp_path), "nl"), "batch", "class", "name", "tag", "start_span", "end_span", "span", "text")
+    assert got == sorted(((b, k, n, k.upper(), 0, 3, "abc", f"abc é {n}") for b, n in (("b1", "one"), ("b2", "two")) for k in readers.TREE_CLASSES), key=repr)
+    assert {r.name for r in readers.span_tree(spark, str(tmp_path), "nl", ["two"]).collect()} == {"two"}
+
+
+def test_listed_ids(spark, tmp_path):
+    assert rows(readers.listed_ids(spark, put(tmp_path / "ids.txt", "a.txt\n\n b \na\n"))) == [("a",), ("b",)]
+    with pytest.raises(ValueError, match="no .txt"):
+        readers.listed_ids(spark, put(tmp_path / "ids.csv", "a\n"))
