@@ -386,6 +386,18 @@ def test_language_model(spark, documents, odd, none):
     assert {r.n_known for r in lm.score(odd, lm.build(none)).collect()} == {0}
 
 
+def test_language_model_by_copies_of_tables(spark, tmp_path, monkeypatch):
+    """Tables in a store that can't be mapped in place: read through the store's own file system, they give the same scores."""
+    plan = lm.build(spark.createDataFrame([("a b a c",), ("b b c a d",), (None,), ("a b",)], "text string"))
+    asked = [[w.encode() for w in t.split()] for t in ("a b", "b c d x", "", "a")]
+    mapped = lm.Tables(plan).score(asked)
+    monkeypatch.setattr(lm, "_local", lambda uri: None)
+    assert all(np.array_equal(x, y) for x, y in zip(lm.Tables(plan).score(asked), mapped, strict=True))
+    for array in (np.arange(5, dtype="<u8"), np.empty(0, "<u8")):
+        lm.save(f"file://{tmp_path}/new", "t", array)
+        assert np.array_equal(lm.load(f"file://{tmp_path}/new", "t", "<u8"), array)
+
+
 def test_language_model_sums_to_one(spark):
     """What follows a word: all known words, the end and an unknown word together have probability 1."""
     train = spark.createDataFrame([("a b a c",), ("b b c a d",), (None,), ("a b",)], "text string")
