@@ -398,6 +398,19 @@ def test_language_model_by_copies_of_tables(spark, tmp_path, monkeypatch):
         assert np.array_equal(lm.load(f"file://{tmp_path}/new", "t", "<u8"), array)
 
 
+@pytest.mark.parametrize("mounted", [True, False])
+def test_language_model_holds_no_files_open(spark, monkeypatch, mounted):
+    """A model of many shards has more files than a process may hold open."""
+    monkeypatch.setattr(lm, "LEAST_SHARDS", 64)
+    plan = lm.build(spark.createDataFrame([("a b a c",), ("b b c a d",)], "text string"))
+    if not mounted:
+        monkeypatch.setattr(lm, "_local", lambda uri: None)
+    before = len(os.listdir("/proc/self/fd"))
+    tables = lm.Tables(plan)
+    assert len(tables.pairs) == 64 and len(os.listdir("/proc/self/fd")) < before + 10
+    assert tables.score([[b"a", b"b"]])[1].tolist() == [3]
+
+
 def test_language_model_sums_to_one(spark):
     """What follows a word: all known words, the end and an unknown word together have probability 1."""
     train = spark.createDataFrame([("a b a c",), ("b b c a d",), (None,), ("a b",)], "text string")
