@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, checkpoint, mix64, text_of
+from ._common import WordHashes, checkpoint, mix64, once, text_of
 
 WORDS, THRESHOLD, TREES, DEEPEST, RECALL = 5, 0.8, 24, 8, 0.9999
 #: Texts in a block of the exact step; texts that are packed to one task when their groups are small.
@@ -54,12 +54,9 @@ def matched_depth(trees: int, threshold: float, recall: float, links: np.ndarray
     return depth
 
 
-_hashes = WordHashes()
-
-
 def shingles(text: str, n: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of the n-word shingles; a shorter text with words is one shingle, one without has none."""
-    words = _hashes(text.encode("utf-8", "surrogatepass").split())
+    words = once("hashes", "", WordHashes)(text.encode("utf-8", "surrogatepass").split())
     if not len(words):
         return words
     k = min(n, len(words))
@@ -287,5 +284,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stay = similar(docs, id_col=id_col, text_col=text_col).where("first_of_class").select(F.col(id_col).alias("stay_id"), F.col("text_hash").alias("stay_hash"))
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("hash"))
     joined = packed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")))
-    once = joined.withColumn("n", F.row_number().over(Window.partitionBy("stay_id", "stay_hash").orderBy(F.lit(1))))
-    return once.where("n = 1").select("row.*")
+    numbered = joined.withColumn("n", F.row_number().over(Window.partitionBy("stay_id", "stay_hash").orderBy(F.lit(1))))
+    return numbered.where("n = 1").select("row.*")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import once, text_of
 
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES = 1_200, 3_000, 16_384
 WINDOW, STRIDE, CODE, LEVEL = 64, 40, 8, 3
@@ -49,13 +49,12 @@ class _Codes(dict):
         return code
 
 
-_codes = _Codes()
 _words = re.compile(r"\w+").findall
 
 
 def plain(text: str) -> bytes:
     """The codes of the words in order; a text without words has one code of zeros."""
-    return b"".join(map(_codes.__getitem__, _words(text.lower()))) or bytes(CODE)
+    return b"".join(map(once("codes", "", _Codes).__getitem__, _words(text.lower()))) or bytes(CODE)
 
 
 def windows(raw: bytes) -> np.ndarray:

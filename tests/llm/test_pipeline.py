@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import sys
+import weakref
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from spanloom.llm import _common, ngram_join, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +37,13 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_workers_remember_one_stage_at_a_time(monkeypatch):
+    """What a stage keeps in a worker goes when the next stage keeps something there."""
+    monkeypatch.setattr(_common, "_made", [])
+    toxicity.plain("a b")
+    kept = weakref.ref(_common.once("codes", "", dict))
+    assert len(kept()) == 2
+    assert len(ngram_join.shingles("a b c d e f")) == 2
+    assert kept() is None and len(_common.once("hashes", "", dict).known) == 6
